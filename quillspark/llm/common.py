@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts reach Python a few megabytes at a time, however long they are.
@@ -34,3 +34,20 @@ def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def held_out(id_col: str, modulus: int, remainder: int) -> Column:
+    """Whether the crc32 of the id as text has this remainder; a null id counts as held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, unseen: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text, label`` of at most about ``max_rows`` labelled documents that are not held out.
+
+    The labels are chosen first, by a hash of their id, so the side that is broadcast has at most
+    ``max_rows`` rows of two numbers, and documents are never shuffled. Null labels are left out, and
+    of documents with equal texts and labels one is used.
+    """
+    chosen = labels.filter(~unseen & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).dropDuplicates(["doc_id"])
+    return picked(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label").dropDuplicates()
