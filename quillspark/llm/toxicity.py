@@ -112,7 +112,7 @@ class Lexicon:
 @dataclass(frozen=True)
 class Training:
     #: The most labelled rows that are used, the first by a hash of their id.
-    max_rows: int = 8_000
+    max_rows: int = 20_000
     #: A term occurs in at least so many toxic texts and in this share of the texts that are toxic.
     min_toxic: int = 4
     min_precision: float = 0.9
