@@ -14,7 +14,7 @@ from array import array
 from collections.abc import Iterator
 
 #: Pieces remembered in each of two generations; the older one is dropped when the newer is full.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 #: Longer pieces are encoded each time instead of being remembered.
 CACHE_CHARS = 48
 
@@ -48,14 +48,20 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.space = self.table[ord(" ")]
+        # Signs that end a word are a pre-token of their own.
+        self.tails = {c: self._piece(c) for c in ".,;:!?"}
+
+    def _fresh(self, shown: str) -> bytes:
+        """Ids of one pre-token, spelt in byte characters."""
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            shown = word.encode().decode("latin-1").translate(self.table)
-            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = self._fresh(word.encode().decode("latin-1").translate(self.table))
             if len(word) <= CACHE_CHARS:
-                if len(self.words) >= self.entries:
+                if len(self.words) >= self.entries // 2:
                     self.words.clear()
                 self.words[word] = found
         return found
@@ -66,15 +72,25 @@ class Encoder:
         return b"".join([self._word(w) for w in self.split(piece)])
 
     def _after_space(self, piece: str) -> bytes:
-        """Ids of the piece with one space before it."""
-        found = self.young.get(piece) or self.old.get(piece)
-        if found is None:
-            found = self._word(" " + piece) if piece.isascii() and piece.isalpha() else self._piece(" " + piece)
-        if len(piece) <= CACHE_CHARS:
-            if len(self.young) >= self.entries:
-                self.old, self.young = self.young, {}
-            self.young[piece] = found
-        return found
+        """Ids of the piece with one space before it; letters alone are one pre-token, and so remembered."""
+        if piece.isalpha():
+            found = self.young.get(piece) or self.old.get(piece)
+            if found is None:
+                if piece.isascii():
+                    found = self._fresh(self.space + piece)
+                elif _OTHER(piece):
+                    return self._piece(" " + piece)
+                else:
+                    found = self._fresh(self.space + piece.encode().decode("latin-1").translate(self.table))
+            if len(piece) <= CACHE_CHARS:
+                if len(self.young) >= self.entries:
+                    self.old, self.young = self.young, {}
+                self.young[piece] = found
+            return found
+        tail = self.tails.get(piece[-1])
+        if tail is not None and piece[:-1].isalpha():
+            return (self.young.get(piece[:-1]) or self._after_space(piece[:-1])) + tail
+        return self._piece(" " + piece)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
