@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import decontamination, lm_scores, packing, quality_model, quality_rules, secrets, simhash, token_files, toxicity
+from . import decontamination, lm_scores, packing, pii, quality_model, quality_rules, secrets, simhash, token_files, toxicity
 from .common import held_out, labelled, table, tokenizer_path
 
 
@@ -69,6 +69,10 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_decontamination,
         op8_quality_model,
         op9_lm_scores,
+        op10_pii,
     )
 }
 

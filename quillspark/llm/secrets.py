@@ -176,3 +176,17 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, empty, step, joined))
+
+
+def with_redactions(ledger: Ledger, docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All rows and columns of ``docs``, with secrets in the text redacted and its length counted anew.
+
+    Only blobs with findings are joined in; a null text stays null.
+    """
+    span = F.struct("start", "end")
+    found = ledger.findings(rules).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("_spans"))
+    joined = docs.withColumn("_blob", blob_of(F.col(text_col))).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    joined = joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans"))))
+    if chars_col in docs.columns:
+        joined = joined.withColumn(chars_col, F.when(F.col("_spans").isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
+    return joined.drop("_blob", "_spans")

@@ -132,3 +132,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """One row of ``docs``, all columns, for each component: that of its smallest id.
+
+    Rows with a null id are kept only where their component has no other id. Of rows that repeat the
+    chosen id one stays. The ids are matched, not the texts, so a group of any size shuffles numbers.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    found = near_duplicates(docs, id_col, text_col, words)
+    chosen = scratch.keep(found.groupBy("component_id").agg(F.min("fingerprint").alias("fp")).select("component_id"), "chosen")
+    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(chosen["component_id"]), "left_semi")
+    return kept.dropDuplicates([id_col])

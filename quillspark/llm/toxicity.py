@@ -238,3 +238,18 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(flags, pa.int32())], names=["doc_id", "score", "predicted"])
 
     return picked(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``; null texts score as empty ones."""
+    bounded_batches(docs.sparkSession)
+    lexicon._machine = None
+    where = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(t) < threshold for t in texts(batch.column(where))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
