@@ -86,13 +86,13 @@ def _covered(windows: Column) -> Column:
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
-def cascade_order(metrics: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, seed: int = 7) -> list[Rule]:
-    """The rules by rejections per second on a sample of about ``sample_rows`` rows."""
-    spark = metrics.sparkSession
-    count = metrics.select("doc_id").count()
+def cascade_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, seed: int = 7) -> list[Rule]:
+    """The rules by rejections per second on a sample of about ``sample_rows`` rows, taken before any metric."""
+    count = docs.count()
     if not count:
         return list(rules)
-    sample = Scratch(spark, "cascade").keep(metrics.sample(min(1.0, sample_rows / count), seed), "sample")
+    sampled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).sample(min(1.0, sample_rows / count), seed)
+    sample = Scratch(docs.sparkSession, "cascade").keep(with_metrics(sampled, "id", "t"), "sample")
 
     def timed(condition: str) -> tuple[float, int]:
         began = time.perf_counter()
@@ -117,8 +117,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """
     metrics = with_metrics(docs, id_col, text_col)
     chain = F.when(F.col("base_failed"), F.lit("base"))
-    sampled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    for rule in cascade_order(with_metrics(sampled, "id", "t"), rules, sample_rows):
+    for rule in cascade_order(docs, id_col, text_col, rules, sample_rows):
         chain = chain.when(F.expr(rule.rejects), F.lit(rule.name))
     rows = metrics.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rejected_by", chain)
     return rows.withColumn("kept", F.col("rejected_by").isNull()).drop("text")
