@@ -48,11 +48,15 @@ def coarse_tokens(text: Column) -> Column:
 def grams(text: Column, low: int, high: int) -> Column:
     """All substrings of ``low`` to ``high`` characters, shorter ones first, with repeats."""
 
-    def of(n: int) -> Column:
-        last = F.length(text) - n + 1
-        return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n))))
+    def all_of(c: Column) -> Column:
+        def of(n: int) -> Column:
+            last = F.size(c) - n
+            made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat(*[c[i + k] for k in range(n)]))
+            return F.when(last < 0, F.array().cast("array<string>")).otherwise(made)
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+        return F.concat(*[of(n) for n in range(low, high + 1)])
+
+    return F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), all_of)[0]
 
 
 def word_grams(text: Column) -> Column:

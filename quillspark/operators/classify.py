@@ -153,22 +153,27 @@ def rewrites(queries: DataFrame, rules: dict[str, tuple[str, ...]] = K.REWRITES,
     return queries.select(F.col(id_col).alias("query_id"), F.posexplode(F.concat(F.array(F.col(text_col)), F.slice(new, 1, most))).alias("ord", "query"))
 
 
-def template_nearest(messages: DataFrame, templates: DataFrame) -> DataFrame:
-    """Nearest template category by cosine of hashed 1- to 3-gram vectors: ``id, intent, confidence``.
+def hashed_cells(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, cell, weight``: the cells, not zero, of the 256-wide vector of signed hashed distinct 1- to 3-grams."""
+    grams = F.array_distinct(X.grams(X.strip(F.lower(F.col(text))), 1, 3))
+    each = rows.select(*keys, F.explode(grams).alias("g"))
+    return each.groupBy(*keys, X.md5_cell(F.col("g")).alias("cell")).agg(F.sum(X.md5_sign(F.col("g"))).alias("weight")).filter("weight <> 0")
 
-    ``templates``: intent, ord, text; a small rule table. Of equal categories the first by ``ord`` wins.
-    """
-    t = templates.select("intent", "ord", hashed_vector(F.col("text")).alias("tv"))
-    rows = messages.select("id", hashed_vector(F.col("text")).alias("mv")).join(F.broadcast(t))
-    best = rows.groupBy("id", "intent").agg(F.max(F.round(X.cosine(F.col("mv"), F.col("tv")), 6)).alias("score"), F.min("ord").alias("ord"))
-    return best.groupBy("id").agg(F.min_by(F.struct("intent", "score"), F.struct((-F.col("score")).alias("s"), "ord")).alias("b")).select("id", F.when(F.col("b.score") > 0, F.col("b.intent")).otherwise("other").alias("intent"), F.col("b.score").alias("confidence"))
 
+def template_nearest(messages: DataFrame, templates: DataFrame) -> DataFrame:
+    """Nearest template category by cosine of hashed gram vectors: ``id, intent, confidence``.
 
-def hashed_vector(text: Column) -> Column:
-    """The 256-wide vector of signed hashed distinct 1- to 3-grams of the lower-case stripped text."""
-    grams = F.array_distinct(X.grams(X.strip(F.lower(text)), 1, 3))
-    signed = F.transform(grams, lambda g: F.struct(X.md5_cell(g).alias("cell"), X.md5_sign(g).alias("sign")))
-    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.aggregate(F.filter(signed, lambda s: s["cell"] == i), F.lit(0), lambda a, s: a + s["sign"]).cast("double"))
+    ``templates``: intent, ord, text; a small rule table. A category counts by its best template; of
+    equal categories the first by ``ord`` wins; a message like none is ``other`` with 0.
+    """
+    m = hashed_cells(messages, ["id"], "text")
+    t = hashed_cells(templates, ["intent", "ord"], "text")
+    norm = lambda df, keys: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dots = m.withColumnRenamed("weight", "w").join(F.broadcast(t), "cell").groupBy("id", "intent", "ord").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    norms = F.broadcast(norm(t, ["intent", "ord"]).withColumnRenamed("norm", "tnorm"))
+    scored = dots.join(norm(m, ["id"]), "id").join(norms, ["intent", "ord"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6))
+    best = scored.filter("score > 0").groupBy("id").agg(F.min_by(F.struct("intent", "score"), F.struct((-F.col("score")).alias("s"), "ord")).alias("b"))
+    return messages.select("id").join(best, "id", "left").select("id", F.coalesce("b.intent", F.lit("other")).alias("intent"), F.coalesce("b.score", F.lit(0.0)).alias("confidence"))
 
 
 def skills_for(messages: DataFrame, skills: DataFrame, agent: str, block: int = 3200, budget: int = 5000) -> DataFrame:

@@ -22,9 +22,10 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def query_terms(queries: DataFrame, id_col: str, text_col: str, tokens=X.tokens) -> DataFrame:
-    """``query_id, token``: distinct tokens of each query."""
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
+def query_terms(queries: DataFrame, id_col: str, text_col: str, tokens=X.tokens, distinct: bool = True) -> DataFrame:
+    """``query_id, token``: tokens of each query, once each unless ``distinct`` is false."""
+    found = tokens(F.col(text_col))
+    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(found) if distinct else found).alias("token"))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, tokens=X.tokens, distinct_length: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -43,9 +44,9 @@ def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, toke
     return found.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf")), stats
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, query_id: str = "item_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", tokens=X.tokens, distinct_length: bool = True) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, query_id: str = "item_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", tokens=X.tokens, distinct_length: bool = True, distinct_terms: bool = True) -> DataFrame:
     """``query_id, doc_id, score`` of every pair that shares a term; scores have six decimals."""
-    terms = query_terms(queries, query_id, query_text, tokens)
+    terms = query_terms(queries, query_id, query_text, tokens, distinct_terms)
     hits, stats = postings(docs, doc_id, doc_text, terms, tokens, distinct_length)
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     weighted = hits.join(df, "token").crossJoin(F.broadcast(stats))
