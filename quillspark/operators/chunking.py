@@ -118,7 +118,7 @@ def chunks(docs: DataFrame, mode: str, size: int = 500, overlap: int = 80, title
     }[mode]()
     rows = docs.withColumn("_chunks", made)
     whole = F.when(X.strip(body) == "", F.array().cast(PIECES)).otherwise(F.array(F.struct(F.lit("").alias("section"), X.strip(body).alias("text"))))
-    rows = rows.withColumn("_chunks", F.when(F.size("_chunks") == 0, whole).otherwise(F.col("_chunks")))
+    rows = rows.withColumn("_chunks", F.when((F.size("_chunks") == 0) | (X.strip(body) == ""), whole).otherwise(F.col("_chunks")))
     rows = rows.withColumn("source_id", X.source_id(F.col(title), body)).withColumn("total_chunks", F.size("_chunks"))
     rows = rows.select("*", F.posexplode("_chunks").alias("chunk_index", "_c")).drop("_chunks")
     rows = rows.withColumns({"section_path": F.col("_c.section"), "content": F.col("_c.text")}).drop("_c")
