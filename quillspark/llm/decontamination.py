@@ -6,9 +6,9 @@ word) may advance; sequences a few edits apart so become sequences a few positio
 ``repeats`` hash tables samples positions of the embedding as its key; an item and a window that share
 a key are verified by their word edit distance.
 
-Windows start at every word, but only those are embedded that can be within the distance: a window
-holds all but twice the allowed edits of the item's word pairs, so one with fewer benchmark word pairs
-than any item needs is left out without loss.
+Windows start at every word, but only those are embedded that can be within the distance: each edit
+changes three word triples at most, so a window with fewer benchmark triples than any item of its
+length class must keep is left out without loss. (Classes of very short items use pairs or words.)
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, picked
-from .tokens import texts
-
+#: Texts whose windows are embedded together.
+SLICE = 256
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -79,16 +79,17 @@ class Index:
                 self.items.append((item_id, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found]))
         sizes = [len(i) for _, i in self.items]
         self.allowed = [int(how.edit_share * n) for n in sizes]
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *[self._pairs(np.array(i, np.int64)) for _, i in self.items]]))
         rng = np.random.default_rng(how.seed)
+        self.grams = {q: np.unique(np.concatenate([np.zeros(0, np.int64), *[self._grams(np.array(i, np.int64), q) for _, i in self.items]])) for q in (1, 2, 3)}
         # Each length class samples positions that its shortest item's walk reaches while inside it.
-        self.classes: dict[int, list[int]] = {}
+        classes: dict[int, list[int]] = {}
         for k, n in enumerate(sizes):
-            self.classes.setdefault(max(1, 1 << (n.bit_length() - 1)), []).append(k)
+            classes.setdefault(max(1, 1 << (n.bit_length() - 1)), []).append(k)
         self.tables = []
-        for least, members in sorted(self.classes.items()):
+        for least, members in sorted(classes.items()):
             longest = max(sizes[k] for k in members)
-            need = min(max(0, sizes[k] - 1 - 2 * self.allowed[k]) for k in members)
+            kept = {q: min(sizes[k] + 1 - q - q * self.allowed[k] for k in members) for q in (3, 2, 1)}
+            q = next((q for q in (3, 2) if kept[q] > 0), 1)
             reach = max(how.positions, int(1.5 * least))
             samples = [[np.sort(rng.choice(reach, min(how.positions, reach), replace=False)) for _ in range(how.repeats)] for _ in range(how.walks)]
             maps: dict[int, list[int]] = {}
@@ -97,10 +98,16 @@ class Index:
                 sequence[0, : sizes[k]] = self.items[k][1]
                 for key in set(self._keys(sequence, samples, reach)[0].tolist()):
                     maps.setdefault(key, []).append(k)
-            self.tables.append((longest, need, samples, reach, maps, np.array(sorted(maps), np.uint64)))
+            span = max(sizes[k] + self.allowed[k] for k in members)
+            self.tables.append((longest, span, q, max(1, kept[q]), samples, reach, maps, np.array(sorted(maps), np.uint64)))
 
-    def _pairs(self, ids):
-        return ids[:-1] * (1 << 32) + ids[1:]
+    @staticmethod
+    def _grams(ids, q: int):
+        """Runs of ``q`` words as one number each."""
+        out = ids[: len(ids) + 1 - q] if len(ids) >= q else ids[:0]
+        for j in range(1, q):
+            out = out * (1 << 21) + ids[j : len(ids) + 1 - q + j]
+        return out
 
     def _keys(self, sequences, samples, reach: int):
         """Keys of each sequence: one for each walk and sample."""
@@ -123,45 +130,65 @@ class Index:
         return np.array(out).T.reshape(n, -1)
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """``(item_id, edits, first word, words)`` of each item in the text, at its best window."""
+        return self.matches_of([text])[0]
+
+    def matches_of(self, many: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text ``(item_id, edits, first word, words)`` of each item in it, at its best window.
+
+        The windows of all the texts are embedded together, a few thousand at a time.
+        """
         import numpy as np
 
-        found = words(text)
-        if not found or not self.items:
-            return []
         known = self.vocabulary.get
-        ids = np.array([known(w, 0) for w in found], np.int64)
-        flags = np.zeros(len(ids) + 1, np.int64)
-        if len(ids) > 1:
-            both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            if len(both):
-                own = self._pairs(ids)[both]
-                at = np.minimum(np.searchsorted(self.pairs, own), max(0, len(self.pairs) - 1))
-                flags[both + 1] = self.pairs[at] == own if len(self.pairs) else 0
-        before = np.cumsum(flags)
-        best: dict[int, tuple[int, int, int]] = {}
-        for longest, need, samples, reach, maps, keys in self.tables:
-            span = longest + int(self.how.edit_share * longest)
-            ends = np.minimum(np.arange(len(ids)) + span - 1, len(ids) - 1)
-            starts = np.flatnonzero((before[ends] - before[:-1] >= need) & ((ids > 0) if need == 0 else True))
+        texts_ids: list[object] = []
+        admitted: list[list[tuple[int, object]]] = [[] for _ in self.tables]
+        for d, text in enumerate(many):
+            found = words(text)
+            ids = np.fromiter((known(w, 0) for w in found), np.int64, len(found))
+            texts_ids.append(ids)
+            sums: dict[int, object] = {}
+            for c, (_, span, q, need, *_) in enumerate(self.tables):
+                if q not in sums:
+                    own, grams = self._grams(ids, q), self.grams[q]
+                    at = np.minimum(np.searchsorted(grams, own), max(0, len(grams) - 1))
+                    held = grams[at] == own if len(grams) else np.zeros(len(own), bool)
+                    sums[q] = np.concatenate([np.zeros(1, np.int64), np.cumsum(held)])
+                total = sums[q]
+                if total[-1] >= need:
+                    first = np.arange(len(total) - 1)
+                    starts = np.flatnonzero(total[np.minimum(first + span + 1 - q, len(total) - 1)] - total[:-1] >= need)
+                    if len(starts):
+                        admitted[c].append((d, starts))
+        best: list[dict[int, tuple[int, int]]] = [{} for _ in many]
+        for (longest, _, _, _, samples, reach, maps, keys), found in zip(self.tables, admitted):
+            if not found:
+                continue
+            owners = np.concatenate([np.full(len(starts), d) for d, starts in found])
+            starts = np.concatenate([starts for _, starts in found])
             for some in range(0, len(starts), 4096):
-                part = starts[some : some + 4096]
-                windows = np.zeros((len(part), longest), np.int64)
-                for j in range(longest):
-                    inside = part + j < len(ids)
-                    windows[inside, j] = ids[part[inside] + j]
-                made = self._keys(windows, samples, reach)
-                at = np.minimum(np.searchsorted(keys, made), len(keys) - 1)
-                hit = keys[at] == made
-                for w in np.flatnonzero(hit.any(1)):
-                    start = int(part[w])
-                    for k in {k for key in set(made[w, hit[w]].tolist()) for k in maps[key]}:
-                        most = self.allowed[k]
-                        sequence = self.items[k][1]
-                        n = edits(sequence, ids[start : start + len(sequence) + most].tolist(), most)
-                        if n <= most and (k not in best or (n, start) < best[k][:2]):
-                            best[k] = (n, start, len(sequence))
-        return sorted((self.items[k][0], n, start, size) for k, (n, start, size) in best.items())
+                self._verify(texts_ids, owners[some : some + 4096], starts[some : some + 4096], longest, samples, reach, maps, keys, best)
+        return [sorted((self.items[k][0], n, start, len(self.items[k][1])) for k, (n, start) in own.items()) for own in best]
+
+    def _verify(self, texts_ids, owners, starts, longest: int, samples, reach: int, maps, keys, best) -> None:
+        """Embed these windows and check the items that share a key with one."""
+        import numpy as np
+
+        windows = np.zeros((len(starts), longest), np.int64)
+        for w, (d, start) in enumerate(zip(owners.tolist(), starts.tolist())):
+            own = texts_ids[d][start : start + longest]
+            windows[w, : len(own)] = own
+        made = self._keys(windows, samples, reach)
+        hit = keys[np.minimum(np.searchsorted(keys, made), len(keys) - 1)] == made
+        for w in np.flatnonzero(hit.any(1)).tolist():
+            start, own, ids = int(starts[w]), best[owners[w]], texts_ids[owners[w]]
+            for k in {k for key in set(made[w, hit[w]].tolist()) for k in maps[key]}:
+                if k in own and own[k][0] == 0:
+                    continue
+                sequence, most = self.items[k][1], self.allowed[k]
+                window = ids[start : start + len(sequence) + most].tolist()
+                n = 0 if window[: len(sequence)] == sequence else edits(sequence, window, most)
+                if n <= most and (k not in own or (n, start) < own[k]):
+                    own[k] = (n, start)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, how: Search = Search(), id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -185,7 +212,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Search = Search(),
             import pyarrow as pa
 
             for batch in batches:
-                found = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))) for m in index.matches(t)]
+                found = []
+                for at in range(0, batch.num_rows, SLICE):
+                    ids, own = batch.column(0).slice(at, SLICE).to_pylist(), batch.column(1).slice(at, SLICE).to_pylist()
+                    found += [(i, *m) for i, ms in zip(ids, index.matches_of(own)) for m in ms]
                 columns = [*zip(*found)] or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "edits", "start_word", "n_words"])
 
@@ -209,8 +239,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, how: Search = Search(), text_co
             import pyarrow as pa
 
             for batch in batches:
-                keep = pa.array([not index.matches(t) for t in texts(batch.column(where))], pa.bool_())
-                yield batch.filter(keep)
+                keep: list[bool] = []
+                for at in range(0, batch.num_rows, SLICE):
+                    keep += [not m for m in index.matches_of(batch.column(where).slice(at, SLICE).to_pylist())]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
