@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts reach Python a few megabytes at a time, however long they are.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 # The white space of the word patterns, as a regular expression class.
 SPACES = r"\x20\x09-\x0D"

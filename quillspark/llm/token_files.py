@@ -23,12 +23,11 @@ from .tokens import crc, encoder, texts
 class Layout:
     """Sizes in bytes; ``rows_per_page`` bounds how many documents a selective read decodes."""
 
-    row_group: int = 32 << 20
+    row_group: int = 16 << 20
     page: int = 256 << 10
     rows_per_page: int = 256
-    #: Documents of one range partition go to one file.
-    files: int | None = None
-
+    #: Ids in a dictionary hardly shrink further, so a cheap codec does.
+    codec: str = "snappy"
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
     """``doc_id, local_start, n_tokens, tokens, shard``: rows in ascending ``doc_id`` within ascending shards.
@@ -67,7 +66,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 def write(encoded: DataFrame, path: str, layout: Layout = Layout()) -> None:
     """Write what ``encode_documents`` made; one file for each shard that has rows."""
     (
-        encoded.write.option("compression", "zstd")
+        encoded.write.option("compression", layout.codec)
         .option("parquet.writer.version", "v2")
         .option("parquet.block.size", layout.row_group)
         .option("parquet.page.size", layout.page)
