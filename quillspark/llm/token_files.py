@@ -29,6 +29,7 @@ class Layout:
     #: Ids in a dictionary hardly shrink further, so a cheap codec does.
     codec: str = "snappy"
 
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
     """``doc_id, local_start, n_tokens, tokens, shard``: rows in ascending ``doc_id`` within ascending shards.
 
@@ -81,25 +82,22 @@ def write(encoded: DataFrame, path: str, layout: Layout = Layout()) -> None:
 SCHEMA = "doc_id long, local_start long, n_tokens long, tokens array<int>, shard int"
 
 
-def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens`` of every document, without reading a token page."""
-    rows = spark.read.schema(SCHEMA).parquet(path)
+def _with_starts(rows: DataFrame) -> DataFrame:
+    """``start`` over all documents: each file's first id, one small row for each file, plus its own counter."""
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "shard")
+    return rows.join(F.broadcast(bases), "shard").withColumn("start", F.col("base") + F.col("local_start"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, tokens``; a filter on ``doc_id`` reaches the page indexes.
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, shard`` of every document, without reading a token page."""
+    return _with_starts(spark.read.schema(SCHEMA).parquet(path)).select("doc_id", "start", "n_tokens", "shard")
 
-    The offsets of the shards are one small row for each file, summed in file order.
-    """
-    rows = spark.read.schema(SCHEMA).parquet(path)
-    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, tokens``; a filter on ``doc_id`` reaches the page indexes."""
+    return _with_starts(spark.read.schema(SCHEMA).parquet(path)).select("doc_id", "start", "n_tokens", "tokens")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
