@@ -72,3 +72,11 @@ REWRITES = {
     "500": ("服务器错误", "服务端内部错误"),
     "429": ("限流", "请求过多"),
 }
+
+# Greetings and words of the plainer gate.
+GREETINGS = ("你好", "您好", "hi", "hello", "hey")
+GATE_WORDS = ("退款", "订单", "登录", "报错")
+
+# Words that call in a domain beside the intent.
+TECHNICAL_CALLS = ("崩溃", "报错", "error", "crash", "无法登录", "登录失败", "500", "401")
+BILLING_CALLS = ("退款", "扣款", "发票", "账单", "支付", "订阅", "refund", "invoice")

@@ -193,3 +193,65 @@ def skills_for(messages: DataFrame, skills: DataFrame, agent: str, block: int =
     left = F.lit(budget) - before
     cut = F.when(F.length("body") <= left, F.col("body")).otherwise(F.concat(F.substring(F.col("body"), F.lit(1), left.cast("int")), F.lit("\n...")))
     return rows.withColumn("_left", left).filter("_left > 0").select("id", "ord", F.col("name").alias("skill"), cut.alias("text"))
+
+
+def plain_gate(message: Column) -> Column:
+    """The plainer gate: greetings never ask, other texts of four characters or with a business word do."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    return ~F.trim(text).isin(*K.GREETINGS) & ((F.length(text) >= 4) | X.any_of(text, K.GATE_WORDS))
+
+
+def table_route(intent: Column, urgency_: Column) -> Column:
+    """The agent by intent alone: critical and handed-over requests escalate, unknown intents are general."""
+    return (
+        F.when((urgency_ == "critical") | intent.isin("escalation", "human_handoff"), "escalation")
+        .when(intent.isin(*TECHNICAL_INTENTS), "technical")
+        .when(intent.isin(*BILLING_INTENTS), "billing")
+        .otherwise("general")
+    )
+
+
+def collaborators(message: Column, intent: Column) -> Column:
+    """The special domains that the intent or a word calls in, in order."""
+    text = F.lower(message)
+    technical = intent.isin(*TECHNICAL_INTENTS) | X.any_of(text, K.TECHNICAL_CALLS)
+    billing = intent.isin(*BILLING_INTENTS) | X.any_of(text, K.BILLING_CALLS)
+    return F.array_compact(F.array(F.when(technical, F.lit("technical")), F.when(billing, F.lit("billing"))))
+
+
+def plain_vote(model: Column, near: Column, pattern: Column, failed: Column, threshold: float = 0.35) -> Column:
+    """The plainer vote: no refinement, a failed model leaves the pattern, confidence is the model's.
+
+    Of equal sums the source named first wins.
+    """
+    rows = F.array(*[F.struct(s["intent"].alias("intent"), (s["confidence"] * w).alias("w")) for s, w in ((model, 0.7), (near, 0.2), (pattern, 0.1))])
+
+    def best(all_: Column) -> Column:
+        sums = F.transform(all_, lambda a: F.struct(a["intent"].alias("intent"), F.aggregate(F.filter(all_, lambda b: b["intent"] == a["intent"]), F.lit(0.0), lambda s, b: s + b["w"]).alias("w")))
+        return F.aggregate(sums, F.struct(F.lit("other").alias("intent"), F.lit(-1.0).alias("w")), lambda a, b: F.when(b["w"] > a["w"], b).otherwise(a))
+
+    first = F.transform(F.array(rows), best)[0]
+    return F.when(failed, pattern["intent"]).otherwise(F.transform(F.array(first), lambda b: F.when(b["w"] >= threshold, b["intent"]).otherwise("other"))[0])
+
+
+def valid_search(query: Column, top_k: Column) -> Column:
+    """Whether a search request may run: some text, and from 1 to 50 results."""
+    return F.coalesce((X.strip(query) != "") & top_k.between(1, 50), F.lit(False))
+
+
+def parameter_error(params: Column, required: list[str], kinds: dict[str, str]) -> Column:
+    """What is wrong with a JSON object of parameters: the first missing one or wrong type; null if nothing.
+
+    A boolean passes as a number, as it does for the rule's own type test.
+    """
+    pattern = {"string": r'^"', "number": r"^(-?[0-9]|true|false)", "integer": r"^(-?[0-9]+$|true|false)", "boolean": r"^(true|false)", "array": r"^\[", "object": r"^\{"}
+    held = F.json_object_keys(params)
+    error = None
+    for name in required:
+        missing = ~F.array_contains(held, name)
+        error = F.when(missing, f"missing {name}") if error is None else error.when(missing, f"missing {name}")
+    typed = F.from_json(params, "map<string,variant>")
+    for name, kind in kinds.items():
+        wrong = F.array_contains(held, name) & ~F.to_json(typed[name]).rlike(pattern[kind])
+        error = F.when(wrong, f"type {name}") if error is None else error.when(wrong, f"type {name}")
+    return error

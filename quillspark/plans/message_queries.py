@@ -96,9 +96,9 @@ def _uniq(expr: str) -> str:
     return f"list_filter({trimmed}, lambda x, i: list_position({trimmed}, x) = i)"
 
 
-ENTITY = rf"""ent AS (SELECT id, text, {_uniq("regexp_extract_all(text, '(?i)(?:订单号?|order(?:_id)?|#)\s*[:：#]?\s*([A-Za-z0-9_-]{4,32})', 1)")} AS order_id,
-{_uniq("regexp_extract_all(text, '(今天|明天|昨天|本周|这周|下周|[0-9]{4}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}日?)', 1)")} AS date,
-{_uniq("regexp_extract_all(text, '(?i)((?:¥|￥)\s*[0-9]+(?:\.[0-9]{1,2})?|[0-9]+(?:\.[0-9]{1,2})?\s*(?:元|块|rmb|cny|usd|美元))', 1)")} AS amount FROM msg)"""
+ENTITY = rf"""ent AS (SELECT id, text, {_uniq(r"regexp_extract_all(text, '(?i)(?:订单号?|order(?:_id)?|#)\s*[:：#]?\s*([A-Za-z0-9_-]{4,32})', 1)")} AS order_id,
+{_uniq(r"regexp_extract_all(text, '(今天|明天|昨天|本周|这周|下周|[0-9]{4}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}日?)', 1)")} AS date,
+{_uniq(r"regexp_extract_all(text, '(?i)((?:¥|￥)\s*[0-9]+(?:\.[0-9]{1,2})?|[0-9]+(?:\.[0-9]{1,2})?\s*(?:元|块|rmb|cny|usd|美元))', 1)")} AS amount FROM msg)"""
 
 
 @query(f"WITH {MSG}, {ENTITY} SELECT id, array_to_string(order_id, ',') AS order_id, array_to_string(date, ',') AS date, array_to_string(amount, ',') AS amount FROM ent")
@@ -322,3 +322,59 @@ def context_budget(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.transform(turns, lambda t: t["line"]).alias("recent"), F.max("text").alias("summary"))
     ready = rows.select("id", "recent", F.slice("recent", 1, 3).alias("history"), F.create_map(F.lit("lang"), F.lit("en"), F.lit("n"), F.size("recent").cast("string")).alias("profile"), "summary", F.repeat(F.lit("k"), 900).alias("knowledge"))
     return memory.context_budget(ready, 2000).withColumn("digest", F.md5("context")).drop("context")
+
+
+# --- the plainer variants ------------------------------------------------------------------------
+
+
+@query(f"WITH {MSG} SELECT id, trim(lower(text)) NOT IN {K.GREETINGS} AND (len(text) >= 4 OR {_hits(K.GATE_WORDS)} > 0) AS search FROM msg")
+def plain_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return messages(spark, sf).select("id", classify.plain_gate(F.col("text")).alias("search"))
+
+
+@query(f"WITH {PATTERN} SELECT id, CASE WHEN ({URGENT}) = 'critical' OR intent IN ('escalation', 'human_handoff') THEN 'escalation' WHEN intent IN {classify.TECHNICAL_INTENTS} THEN 'technical' WHEN intent IN {classify.BILLING_INTENTS} THEN 'billing' ELSE 'general' END AS agent FROM pat")
+def table_route(spark: SparkSession, sf: str) -> DataFrame:
+    return patterned(spark, sf).select("id", classify.table_route(F.col("intent"), classify.urgency(F.col("text"), F.col("intent"))).alias("agent"))
+
+
+@query(f"WITH {PATTERN} SELECT id, concat_ws(',', CASE WHEN intent IN {classify.TECHNICAL_INTENTS} OR {_hits(K.TECHNICAL_CALLS)} > 0 THEN 'technical' END, CASE WHEN intent IN {classify.BILLING_INTENTS} OR {_hits(K.BILLING_CALLS)} > 0 THEN 'billing' END) AS agents FROM pat")
+def collaboration_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return patterned(spark, sf).select("id", F.array_join(classify.collaborators(F.col("text"), F.col("intent")), ",").alias("agents"))
+
+
+@query(
+    f"""WITH {PATTERN}, v AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'query' ELSE 'billing' END AS mi, (abs(id) % 10) / 10.0 AS mc, CASE WHEN id % 3 = 0 THEN 'query' ELSE 'refund' END AS ei, 0.6 AS ec, id % 7 = 0 AS failed FROM pat),
+    w AS (SELECT *, round({_W.format('mi')}, 9) AS a, round({_W.format('ei')}, 9) AS b, round({_W.format('intent')}, 9) AS c FROM v)
+    SELECT id, CASE WHEN failed THEN intent WHEN greatest(a, b, c) < 0.35 THEN 'other' WHEN a = greatest(a, b, c) THEN mi WHEN b = greatest(a, b, c) THEN ei ELSE intent END AS intent FROM w"""
+)
+def plain_vote(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("id")
+    model = F.struct(F.when(i % 2 == 0, "query").otherwise("billing").alias("intent"), ((F.abs(i) % 10) / 10.0).alias("confidence"))
+    near = F.struct(F.when(i % 3 == 0, "query").otherwise("refund").alias("intent"), F.lit(0.6).alias("confidence"))
+    return patterned(spark, sf).select("id", classify.plain_vote(model, near, F.struct("intent", "confidence"), i % 7 == 0).alias("intent"))
+
+
+@query(f"WITH {MSG} SELECT id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND abs(id) % 60 BETWEEN 1 AND 50 AS valid FROM msg")
+def valid_search(spark: SparkSession, sf: str) -> DataFrame:
+    return messages(spark, sf).select("id", classify.valid_search(F.col("text"), F.abs("id") % 60).alias("valid"))
+
+
+@query(
+    """WITH a AS (SELECT conv_id AS request_id, turn AS ord, role AS agent, text, role = 'system' AS e FROM conversations)
+    SELECT request_id, md5(string_agg('[' || agent || ' - ' || CASE WHEN ord = 0 THEN '主处理' ELSE '辅助处理' END || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY ord)) AS digest, bool_or(e) AS escalated FROM a GROUP BY request_id"""
+)
+def merged_answers(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import pipeline
+
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("ord"), F.col("role").alias("agent"), F.col("text").alias("content"), (F.col("role") == "system").alias("escalate"))
+    return pipeline.merged_answers(rows).select("request_id", F.md5("content").alias("digest"), "escalated")
+
+
+PARAMS = ('{"query": "a", "top_k": 3}', '{"top_k": 3}', '{"query": 1}', '{"query": "a", "top_k": "x"}', '{"query": "a", "top_k": true}', '{"query": "a", "other": []}')
+_WRONG = (None, "missing query", "type query", "type top_k", None, None)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted(w) if w else 'NULL'})" for i, w in enumerate(_WRONG)) + ") AS t(i, error)")
+def parameter_errors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([*enumerate(PARAMS)], "i int, params string")
+    return rows.select("i", classify.parameter_error(F.col("params"), ["query"], {"query": "string", "top_k": "integer"}).alias("error"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as K
 from ..functions import text as X
-from ..operators import chunking, classify, evaluation, retrieval
+from ..operators import chunking, classify, evaluation, pipeline, retrieval
 from ..sources import readers, sinks
 from ..sources.readers import table
 from .registry import query
@@ -439,3 +439,63 @@ def acceptance_report(spark: SparkSession, sf: str) -> DataFrame:
     found = _variants(spark, sf)
     whole = {k: evaluation.summary(v).filter("gid = 3") for k, v in found.items()}
     return evaluation.acceptance(whole["r3"], whole["r1"], evaluation.bootstrap(_deltas(spark, sf)), 310.7, 280.7)
+
+
+# --- whole pipelines -----------------------------------------------------------------------------
+
+_RERANKED = f"""{BM25}, {COSINE}, {FUSED},
+qi AS (SELECT query_id, token, coalesce(ln(1 + (n - df + 0.5) / (df + 0.5)), 0) AS idf FROM qd LEFT JOIN df USING (token), st),
+ts AS (SELECT doc_id, text, toks, list_transform(regexp_extract_all(source || ' ' || lang, '[A-Za-z0-9_]+'), lambda t: lower(t)) AS stoks FROM documents JOIN dt USING (doc_id)),
+rr AS (SELECT query_id, doc_id, round(0.45 * coalesce(sum(idf) FILTER (list_contains(toks, token)), 0) + 0.30 * coalesce(sum(idf) FILTER (list_contains(stoks, token)), 0) + 0.25 * coalesce(sum(idf) FILTER (len(token) >= 2 AND contains(text, token)), 0), 4) AS rs
+    FROM ff JOIN ts USING (doc_id) JOIN qi USING (query_id) GROUP BY ALL),
+pl AS (SELECT query_id, doc_id, fusion_score AS strength, count(*) OVER (PARTITION BY query_id) AS n, ffr.rank AS place, rs FROM ffr JOIN rr USING (query_id, doc_id)),
+po AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 5 THEN -rs ELSE 0 END, place) AS pos FROM pl)"""
+
+
+def _searched(spark: SparkSession, sf: str, name: str, min_score: float = 0.0) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("section", F.concat_ws(" ", "source", "lang"))
+    return pipeline.search(table(spark, sf, "benchmark"), docs, pipeline.VARIANTS[name], k=5, min_score=min_score)
+
+
+@query(f"WITH {_RERANKED} SELECT query_id, doc_id, strength, pos FROM po WHERE pos <= 5 AND strength >= 0.01")
+def retrieval_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The full hybrid variant with rewriting, reranking and a threshold."""
+    return _searched(spark, sf, "r4", 0.01)
+
+
+@query(f"WITH {BM25}, {COSINE}, {FUSED} SELECT query_id, doc_id, fusion_score AS strength, rank AS pos FROM ffr WHERE rank <= 5")
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid recall without rewriting or reranking."""
+    return _searched(spark, sf, "r3")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in vars(v).values()) + ")" for v in pipeline.VARIANTS.values()) + ") AS t(name, chunk_mode, overlap, cosine, stable_ids, dedup_mode, hybrid, rewrite, rerank, fallback)")
+def variant_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return pipeline.variant_rows(spark)
+
+
+@query(f"""WITH {BM25}, h AS (SELECT query_id, rank, '  ' || rank || '. 标题: ' || source || chr(10) || '   内容: ' || substr(text, 1, 600) AS line FROM bmr JOIN documents USING (doc_id) WHERE rank <= 3 AND trim(text) <> '')
+SELECT query_id, count(*) AS n, sum(len(line))::BIGINT AS chars FROM h GROUP BY query_id""")
+def knowledge_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Size of each query's numbered context: its lines, and their characters without the scores."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
+    hits = _bm25(spark, sf, 3).join(docs, "doc_id").select("query_id", F.col("rank").alias("pos"), "title", "content", F.lit("").alias("score"))
+    made = pipeline.knowledge_context(hits)
+    lines = F.regexp_count("context", F.lit(r"(?m)^[1-3]\. 标题: "))
+    # The heading and the score lines are not counted, two blanks stand before each number instead.
+    chars = F.length("context") - F.length(F.lit("[知识库检索结果]\n")) - lines * (F.length(F.lit("   相关度: \n")) - 2) - (lines - 1)
+    return made.select("query_id", lines.cast("long").alias("n"), chars.cast("long").alias("chars"))
+
+
+_LATIN = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+
+
+@query(
+    f"""WITH q AS (SELECT item_id AS query_id, {_LATIN.format('text')} AS q FROM benchmark), c AS (SELECT page_id AS doc_id, {_LATIN.format('html')} AS c, {_LATIN.format('url')} AS s FROM pages),
+    x AS (SELECT query_id, doc_id, round(0.55 + 0.25 * len(list_intersect(q, c)) + 0.20 * len(list_intersect(q, s)), 4)::DOUBLE AS score FROM q, c)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 5"""
+)
+def overlap_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Token overlap with pages, their address as the section."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.col("url").alias("section"))
+    return retrieval.overlap_topk(table(spark, sf, "benchmark"), pages)
