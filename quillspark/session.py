@@ -46,6 +46,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)  # results read these tables lazily, so they stay as long as the driver
 
     def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = (), **options: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back with the same schema."""
