@@ -34,7 +34,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Scratch(spark, "tokens").path
+    path = Scratch(spark, "tokens").path + "/files"
     token_files.write(token_files.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0), path)
     return token_files.checksums(token_files.read(spark, path))
 
