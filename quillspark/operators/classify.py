@@ -106,6 +106,7 @@ def escalated(response: Column, urgency_: Column, intent: Column) -> Column:
     return X.any_of(response, K.ESCALATION_WORDS) | (urgency_ == "critical") | intent.isin("escalation", "human_handoff")
 
 
+# The domain of each intent.
 GENERAL_INTENTS = ("query", "order_status", "logistics", "request", "complaint", "greeting", "feedback", "other")
 TECHNICAL_INTENTS = ("technical", "technical_login", "technical_crash")
 BILLING_INTENTS = ("billing", "account", "account_security", "refund", "invoice", "payment_issue")
