@@ -14,7 +14,7 @@ from array import array
 from collections.abc import Iterator
 
 #: Pieces remembered in each of two generations; the older one is dropped when the newer is full.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 #: Longer pieces are encoded each time instead of being remembered.
 CACHE_CHARS = 48
 
