@@ -2,13 +2,13 @@
 
 Items and item-sized windows of documents are sequences of words. The CGK random walk embeds a
 sequence of n words in 3n steps: each step emits the word under a pointer, which a random bit of (step,
-word) may advance; sequences a few edits apart so become sequences a few positions apart. Each of
+word) may advance, so that it passes all n words; sequences a few edits apart so become sequences a few positions apart. Each of
 ``repeats`` hash tables samples positions of the embedding as its key; an item and a window that share
 a key are verified by their word edit distance.
 
 Windows start at every word, but only those are embedded that can be within the distance: each edit
-changes three word triples at most, so a window with fewer benchmark triples than any item of its
-length class must keep is left out without loss. (Classes of very short items use pairs or words.)
+changes three word triples at most, so a window with fewer benchmark triples than an item of its
+length must keep is left out without loss. (Very short items use pairs or words.)
 """
 
 from __future__ import annotations
@@ -81,25 +81,29 @@ class Index:
         self.allowed = [int(how.edit_share * n) for n in sizes]
         rng = np.random.default_rng(how.seed)
         self.grams = {q: np.unique(np.concatenate([np.zeros(0, np.int64), *[self._grams(np.array(i, np.int64), q) for _, i in self.items]])) for q in (1, 2, 3)}
-        # Each length class samples positions that its shortest item's walk reaches while inside it.
-        classes: dict[int, list[int]] = {}
+        # Items of one length share samples, drawn over their whole walk; lengths of one power of two share walks.
+        lengths: dict[int, list[int]] = {}
         for k, n in enumerate(sizes):
-            classes.setdefault(max(1, 1 << (n.bit_length() - 1)), []).append(k)
-        self.tables = []
-        for least, members in sorted(classes.items()):
-            longest = max(sizes[k] for k in members)
-            kept = {q: min(sizes[k] + 1 - q - q * self.allowed[k] for k in members) for q in (3, 2, 1)}
-            q = next((q for q in (3, 2) if kept[q] > 0), 1)
-            reach = max(how.positions, int(1.5 * least))
-            samples = [[np.sort(rng.choice(reach, min(how.positions, reach), replace=False)) for _ in range(how.repeats)] for _ in range(how.walks)]
+            lengths.setdefault(n, []).append(k)
+        self.groups: list[list[tuple]] = []
+        for n, members in sorted(lengths.items()):
+            most = self.allowed[members[0]]
+            q = next((q for q in (3, 2) if n + 1 - q - q * most > 0), 1)
+            # By turns from the first, middle and last half of the walk: edits in one part leave the keys of another.
+            half = max(1, 3 * n // 2)
+            samples = [[np.sort(rng.choice(half, min(how.positions, half), replace=False)) + s % 3 * (3 * n - half) // 2 for s in range(how.repeats)] for _ in range(how.walks)]
+            flat = np.array([[*self.items[k][1], 0] for k in members], np.int64).ravel()
+            starts = np.arange(len(members)) * (n + 1)
             maps: dict[int, list[int]] = {}
-            for k in members:
-                sequence = np.zeros((1, longest), np.int64)
-                sequence[0, : sizes[k]] = self.items[k][1]
-                for key in set(self._keys(sequence, samples, reach)[0].tolist()):
-                    maps.setdefault(key, []).append(k)
-            span = max(sizes[k] + self.allowed[k] for k in members)
-            self.tables.append((longest, span, q, max(1, kept[q]), samples, reach, maps, np.array(sorted(maps), np.uint64)))
+            mixed = self._mixed(flat)
+            for walk, sampled in enumerate(samples):
+                made = self._keys(mixed, starts, starts + n, self._walk(mixed, starts, starts + n, walk, n), n, walk, sampled)
+                for k, own in zip(members, made.tolist()):
+                    for key in set(own):
+                        maps.setdefault(key, []).append(k)
+            if not self.groups or self.groups[-1][0][0].bit_length() < n.bit_length():
+                self.groups.append([])
+            self.groups[-1].append((n, n + most, q, max(1, n + 1 - q - q * most), samples, maps, np.array(sorted(maps), np.uint64)))
 
     @staticmethod
     def _grams(ids, q: int):
@@ -109,25 +113,36 @@ class Index:
             out = out * (1 << 21) + ids[j : len(ids) + 1 - q + j]
         return out
 
-    def _keys(self, sequences, samples, reach: int):
-        """Keys of each sequence: one for each walk and sample."""
+    @staticmethod
+    def _mixed(ids):
+        import numpy as np
+
+        return _mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+    @staticmethod
+    def _walk(mixed, starts, ends, walk: int, n: int):
+        """How far from each start the pointer is at each of 3n steps; it reads no further than the end."""
         import numpy as np
 
-        n, width = sequences.shape
-        rows, out = np.arange(n), []
-        mixed = _mix(sequences.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        for walk, sampled in enumerate(samples):
-            pointer, emitted = np.zeros(n, np.int64), np.zeros((reach, n), np.uint64)
-            for step in range(reach):
-                here = mixed[rows, np.minimum(pointer, width - 1)]
-                emitted[step] = here
-                pointer += ((_mix(here + np.uint64(1000 * walk + step + 1)) >> np.uint64(17)) & np.uint64(1)).astype(np.int64)
-            for s, positions in enumerate(sampled):
-                key = np.full(n, walk * 1000 + s, np.uint64)
-                for p in positions:
-                    key = _mix(key * np.uint64(31) + emitted[p])
-                out.append(key)
-        return np.array(out).T.reshape(n, -1)
+        turns = _mix(np.arange(3 * n, dtype=np.uint64) + np.uint64((walk + 1) << 32)) | np.uint64(1)
+        pointer, out = np.zeros(len(starts), np.int64), np.empty((3 * n, len(starts)), np.int32)
+        for step in range(3 * n):
+            out[step] = pointer
+            pointer += (mixed[np.minimum(starts + pointer, ends)] * turns[step] >> np.uint64(63)).astype(np.int64)
+        return out
+
+    @staticmethod
+    def _keys(mixed, starts, ends, pointers, n: int, walk: int, sampled, own=slice(None)):
+        """Keys of the sequences of ``n`` words at the starts: one for each sample."""
+        import numpy as np
+
+        out = []
+        for s, positions in enumerate(sampled):
+            key = np.full(len(starts), walk * 1000 + s, np.uint64)
+            for p in positions:
+                key = key * np.uint64(0xD6E8FEB86659FD93) + mixed[np.minimum(starts + np.minimum(pointers[p][own], n - 1), ends)]
+            out.append(_mix(key))
+        return np.array(out).T.reshape(len(starts), -1)
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         return self.matches_of([text])[0]
@@ -140,55 +155,64 @@ class Index:
         import numpy as np
 
         known = self.vocabulary.get
-        texts_ids: list[object] = []
-        admitted: list[list[tuple[int, object]]] = [[] for _ in self.tables]
-        for d, text in enumerate(many):
-            found = words(text)
-            ids = np.fromiter((known(w, 0) for w in found), np.int64, len(found))
-            texts_ids.append(ids)
-            sums: dict[int, object] = {}
-            for c, (_, span, q, need, *_) in enumerate(self.tables):
+        # All texts in a row, each followed by a word that no item has.
+        found = [words(text) for text in many]
+        sizes = np.array([len(own) for own in found], np.int64)
+        ids = np.fromiter((i for own in found for i in (*(known(w, 0) for w in own), 0)), np.int64, int(sizes.sum()) + len(many))
+        firsts = np.cumsum(sizes + 1) - sizes - 1
+        ends = np.repeat(firsts + sizes, sizes + 1)
+        mixed = self._mixed(ids)
+        best: list[dict[int, tuple[int, int]]] = [{} for _ in many]
+        sums: dict[int, object] = {}
+        for group in self.groups:
+            admitted = []
+            for q in sorted({q for _, _, q, *_ in group}):
                 if q not in sums:
                     own, grams = self._grams(ids, q), self.grams[q]
-                    at = np.minimum(np.searchsorted(grams, own), max(0, len(grams) - 1))
-                    held = grams[at] == own if len(grams) else np.zeros(len(own), bool)
+                    held = grams[np.minimum(np.searchsorted(grams, own), len(grams) - 1)] == own if len(grams) else np.zeros(len(own), bool)
                     sums[q] = np.concatenate([np.zeros(1, np.int64), np.cumsum(held)])
                 total = sums[q]
-                if total[-1] >= need:
-                    first = np.arange(len(total) - 1)
-                    starts = np.flatnonzero(total[np.minimum(first + span + 1 - q, len(total) - 1)] - total[:-1] >= need)
+                tables = [t for t in group if t[2] == q]
+                # Starts that any of the lengths may admit, then those of each length.
+                last = np.minimum(ends[: len(total) - 1] + 1 - q, len(total) - 1)
+                at = np.arange(len(total) - 1)
+                some = np.flatnonzero(total[np.maximum(at, np.minimum(at + max(t[1] for t in tables) + 1 - q, last))] - total[:-1] >= min(t[3] for t in tables))
+                for t in tables if len(some) else ():
+                    starts = some[total[np.maximum(some, np.minimum(some + t[1] + 1 - q, last[some]))] - total[some] >= t[3]]
                     if len(starts):
-                        admitted[c].append((d, starts))
-        best: list[dict[int, tuple[int, int]]] = [{} for _ in many]
-        for (longest, _, _, _, samples, reach, maps, keys), found in zip(self.tables, admitted):
-            if not found:
-                continue
-            owners = np.concatenate([np.full(len(starts), d) for d, starts in found])
-            starts = np.concatenate([starts for _, starts in found])
-            for some in range(0, len(starts), 4096):
-                self._verify(texts_ids, owners[some : some + 4096], starts[some : some + 4096], longest, samples, reach, maps, keys, best)
+                        admitted.append((t, starts))
+            if admitted:
+                union = np.unique(np.concatenate([starts for _, starts in admitted]))
+                width = max(64, min(4096, (1 << 20) // admitted[-1][0][0]))
+                for a in range(0, len(union), width):
+                    self._verify(ids, mixed, firsts, ends, union[a : a + width], admitted, best)
         return [sorted((self.items[k][0], n, start, len(self.items[k][1])) for k, (n, start) in own.items()) for own in best]
 
-    def _verify(self, texts_ids, owners, starts, longest: int, samples, reach: int, maps, keys, best) -> None:
-        """Embed these windows and check the items that share a key with one."""
+    def _verify(self, ids, mixed, firsts, ends, union, admitted, best) -> None:
+        """Embed the windows at these starts and check the items that share a key with one."""
         import numpy as np
 
-        windows = np.zeros((len(starts), longest), np.int64)
-        for w, (d, start) in enumerate(zip(owners.tolist(), starts.tolist())):
-            own = texts_ids[d][start : start + longest]
-            windows[w, : len(own)] = own
-        made = self._keys(windows, samples, reach)
-        hit = keys[np.minimum(np.searchsorted(keys, made), len(keys) - 1)] == made
-        for w in np.flatnonzero(hit.any(1)).tolist():
-            start, own, ids = int(starts[w]), best[owners[w]], texts_ids[owners[w]]
-            for k in {k for key in set(made[w, hit[w]].tolist()) for k in maps[key]}:
-                if k in own and own[k][0] == 0:
-                    continue
-                sequence, most = self.items[k][1], self.allowed[k]
-                window = ids[start : start + len(sequence) + most].tolist()
-                n = 0 if window[: len(sequence)] == sequence else edits(sequence, window, most)
-                if n <= most and (k not in own or (n, start) < own[k]):
-                    own[k] = (n, start)
+        longest = max(t[0] for t, _ in admitted)
+        shared: set[tuple[int, int]] = set()
+        inside = [(t, np.flatnonzero(np.isin(union, starts, assume_unique=True))) for t, starts in admitted]
+        for walk in range(self.how.walks):
+            pointers = self._walk(mixed, union, ends[union], walk, longest)
+            for (n, _, _, _, samples, maps, keys), own in inside:
+                starts = union[own]
+                made = self._keys(mixed, starts, ends[starts], pointers, n, walk, samples[walk], own)
+                hit = keys[np.minimum(np.searchsorted(keys, made), len(keys) - 1)] == made
+                for w, s in zip(*(x.tolist() for x in np.nonzero(hit))):
+                    shared.update((int(starts[w]), k) for k in maps[int(made[w, s])])
+        for start, k in sorted(shared):
+            d = int(np.searchsorted(firsts, start, "right")) - 1
+            own, at = best[d], start - int(firsts[d])
+            if k in own and own[k][0] == 0:
+                continue
+            sequence, most = self.items[k][1], self.allowed[k]
+            window = ids[start : min(start + len(sequence) + most, int(ends[start]))].tolist()
+            n = 0 if window[: len(sequence)] == sequence else edits(sequence, window, most)
+            if n <= most and (k not in own or (n, at) < own[k]):
+                own[k] = (n, at)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, how: Search = Search(), id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

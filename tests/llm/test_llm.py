@@ -358,6 +358,22 @@ def test_decontamination_recall_and_exactness(spark, edges):
     assert decontamination.clean(edges, bench).count() == len(EDGES)
 
 
+@pytest.mark.parametrize("n", [15, 31, 59, 63, 127])
+@pytest.mark.parametrize("first, last", [(0, 0.4), (0.3, 0.7), (0.6, 1)])
+def test_decontamination_recall_wherever_the_edits_are(n, first, last):
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k in range(50)]
+    docs = []
+    for _, passage in items:
+        passage = passage.split()
+        for at in rng.sample(range(int(first * n), int(last * n)), n // 5):
+            passage[at] = f"x{rng.randrange(1000)}"
+        docs.append(" ".join(rng.choices(vocabulary, k=60) + passage + rng.choices(vocabulary, k=60)))
+    found = decontamination.Index(items).matches_of(docs)
+    assert sum(any(m[0] == k for m in own) for k, own in enumerate(found)) >= 45
+
+
 def test_edit_distance():
     assert decontamination.edits([1, 2, 3], [1, 2, 3, 9, 9], 1) == 0
     assert decontamination.edits([1, 2, 3, 4], [1, 9, 3, 4], 1) == 1
