@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import Scratch
 from .common import bounded_batches, picked
@@ -115,6 +116,14 @@ def _crowded(distinct: DataFrame) -> DataFrame:
     return least.select("a", F.explode("others").alias("b")).filter("a <> b")
 
 
+def _rooted(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fp, least, root``: each distinct fingerprint, its smallest id and its component."""
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    edges = links(classes.select("fp"), scratch)
+    roots = connected(edges).select(F.col("node").alias("fp"), "root")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row.
 
@@ -125,10 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(classes.select("fp"), scratch)
-    roots = connected(edges).select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(rows, scratch)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -137,11 +143,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row of ``docs``, all columns, for each component: that of its smallest id.
 
-    Rows with a null id are kept only where their component has no other id. Of rows that repeat the
-    chosen id one stays. The ids are matched, not the texts, so a group of any size shuffles numbers.
+    Rows with a null id are kept only where their component has no other id. Of the rows that repeat
+    the chosen id and fingerprint one stays; a fingerprint has one component, so ids may be null or
+    repeat. Numbers are matched, not texts, so a group of any size shuffles numbers.
     """
     scratch = Scratch(docs.sparkSession, "representatives")
-    found = near_duplicates(docs, id_col, text_col, words)
-    chosen = scratch.keep(found.groupBy("component_id").agg(F.min("fingerprint").alias("fp")).select("component_id"), "chosen")
-    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(chosen["component_id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    rooted = _rooted(scratch.keep(fingerprints(docs, id_col, text_col, words), "fingerprints"), scratch)
+    first = F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first")
+    chosen = scratch.keep(rooted.groupBy("root").agg(first).select(F.col("first.least").alias("least"), F.col("first.fp").alias("fp")), "chosen")
+    own, where = "_fingerprint_of_row", docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fps = [f - (1 << 64) if f >> 63 else f for f in (fingerprint(t, words) for t in texts(batch.column(where)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, own])
+
+    known = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(own, LongType())]))
+    kept = known.join(chosen, known[id_col].cast("long").eqNullSafe(chosen["least"]) & (known[own] == chosen["fp"]), "left_semi")
+    return kept.dropDuplicates([own]).select(*docs.columns)

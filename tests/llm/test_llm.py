@@ -210,6 +210,14 @@ def test_representatives(spark, edges):
     assert set(kept[0].asDict()) == set(edges.columns)
 
 
+def test_representatives_where_ids_are_null_or_repeat(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
+    data = [(None, "a"), (None, "b"), (None, "b"), (None, "c"), (1, "c"), (2, "d"), (2, "e"), (2, "e"), (3, "f"), (None, "f"), (3, "g"), (4, "g")]
+    docs = spark.createDataFrame([(i, texts[k], k) for i, k in data], "doc_id long, text string, name string")
+    kept = sorted((r["name"], r["doc_id"]) for r in simhash.representatives(docs).collect())
+    assert kept == [("a", None), ("b", None), ("c", 1), ("d", 2), ("e", 2), ("f", 3), ("g", 3)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (300, 301)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected(edges).collect()}
