@@ -45,9 +45,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, unseen: Column,
     """``text, label`` of at most about ``max_rows`` labelled documents that are not held out.
 
     The labels are chosen first, by a hash of their id, so the side that is broadcast has at most
-    ``max_rows`` rows of two numbers, and documents are never shuffled. Null labels are left out, and
-    of documents with equal texts and labels one is used.
+    ``max_rows`` rows of two numbers, and documents are never shuffled. Null labels are left out, an id
+    with several labels has the smallest, and of documents with equal texts and labels one is used.
     """
-    chosen = labels.filter(~unseen & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).dropDuplicates(["doc_id"])
+    known = labels.filter(~unseen & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     return picked(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label").dropDuplicates()

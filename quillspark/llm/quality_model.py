@@ -1,15 +1,18 @@
 """Quality classifier: random-indexing word vectors, pooled, under a two-layer network.
 
-A word's index vector is a fixed sparse random one; its word vector is the sum of the index vectors
-around it in the training texts. A text is the mean of its words' vectors, with marks for the form of
-words (capitals, signs, digits, a word said again). A two-layer network gives a score, whose
-temperature is fitted on rows that the network has not seen.
+Texts are read as pieces: runs of letters and digits as they are written, and runs of signs. A piece's
+index vector is sparse, random and made from the hash of its spelling, so no table of them exists; its
+word vector is the sum of the index vectors around it, counted over every document. Pieces that make
+up at least ``share`` of all pieces have vectors of their own, of which there are 1 / ``share`` at
+most; rarer ones share the vector of their form (capitals, small letters, digits and signs, runs cut
+to two, with the length's order), kept by the same rule. A text is the mean and the maximum of its
+pieces' vectors. A two-layer network, fitted on a bounded sample of labelled texts, gives a score,
+whose temperature is fitted on rows that the network has not seen.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,92 +25,196 @@ from .tokens import texts
 
 @dataclass(frozen=True)
 class Training:
-    #: The most labelled rows that are used, the first by a hash of their id.
+    #: The most labelled rows that the network is fitted on, the first by a hash of their id.
     max_rows: int = 6_000
-    #: Words share so many vectors, by a hash; the table of vectors is therefore bounded.
-    buckets: int = 4096
-    size: int = 48
+    #: Pieces and forms that make up this share of all pieces have vectors: 1 / share of each at most.
+    share: float = 1e-5
+    size: int = 64
     nonzero: int = 6
     window: int = 2
+    #: How much of a piece's own index vector is added to its word vector of length 1.
+    own: float = 0.5
     hidden: int = 24
     steps: int = 400
     rate: float = 0.02
     decay: float = 1e-4
-    #: Partitions that the training texts are read in, and so partial tables sent to the driver.
-    parts: int = 8
     seed: int = 11
 
 
-# Marks of a word's form come first among the vectors.
-MARKS = ("again", "capitals", "signs", "digits", "shout", "long", "short_text")
-_FORM = re.compile(r"[^\w\s.,;:!?'\"()-]")
+_PIECES = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
+_RUNS = re.compile(r"(.)\1{2,}", re.S)
+#: No piece has a blank: forms are told from pieces by it.
+_FORM = " "
+#: What a reader remembers: pieces of up to so many characters, so many of them.
+MEMORY, MEMORY_CHARS = 300_000, 48
+#: Pieces that one worker counts before it hands its counts on.
+COUNTED = 300_000
+
+
+def form(piece: str) -> str:
+    """What a piece looks like: ``Xx9`` for its characters, runs cut to two, and the order of its length."""
+    kinds = "".join(["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in piece[:64]])
+    return f"{_FORM}{_RUNS.sub(r'\1\1', kinds)}{_FORM}{len(piece).bit_length()}"
 
 
 class Reader:
-    """Turns texts into the numbers of their words' vectors; what it remembers is bounded."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.known = buckets, {}
-
-    def _look(self, word: str) -> tuple[int, ...]:
-        own = len(MARKS) + zlib.crc32(word.lower().strip(".,;:!?'\"()").encode()) % (self.buckets - len(MARKS))
-        forms = (
-            (1, len(word) > 2 and word.isupper()),
-            (2, bool(_FORM.search(word))),
-            (3, any(map(str.isdigit, word))),
-            (4, word.endswith("!!")),
-            (5, len(word) > 25),
-        )
-        found = (own, *(n for n, holds in forms if holds))
-        if len(self.known) > 300_000:
-            self.known.clear()
-        self.known[word] = found
+    """Turns texts into the numbers of their pieces' vectors; what it remembers is bounded."""
+
+    def __init__(self, units: list[str]):
+        self.units = {u: i for i, u in enumerate(units)}
+        self.known: dict[str, int] = {}
+
+    def _look(self, piece: str) -> int:
+        found = self.units.get(piece)
+        if found is None:
+            found = self.units.get(form(piece), len(self.units))
+        if len(piece) <= MEMORY_CHARS:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            self.known[piece] = found
         return found
 
     def read(self, text: str | None):
-        """Word numbers and mark numbers of a text, and its number of words."""
+        """Vector numbers of a text's pieces; a piece whose form is rare, too, has the number after the last."""
         import numpy as np
 
-        words = text.split() if text else []
-        get = self.known.get
-        looks = [get(w) or self._look(w) for w in words]
-        ids = np.fromiter((x[0] for x in looks), np.int64, len(looks))
-        marks = [n for x in looks if len(x) > 1 for n in x[1:]]
-        marks += [0] * int((ids[1:] == ids[:-1]).sum())
-        return ids, marks
+        pieces = _PIECES(text) if text else []
+        found = [*map(self.known.get, pieces)]
+        if None in found:
+            found = [self._look(p) if n is None else n for p, n in zip(pieces, found)]
+        return np.fromiter(found, np.int64, len(found))
 
 
-def index_vectors(how: Training):
-    """The fixed sparse random vectors: ``nonzero`` entries of 1 or -1 each."""
-    import numpy as np
+def _counts(rows: DataFrame, of, schema: str) -> DataFrame:
+    """``unit, n``: what ``of`` counts in each batch, summed over all rows; partial sums before the shuffle."""
 
-    rng = np.random.default_rng(how.seed)
-    table = np.zeros((how.buckets, how.size), np.float32)
-    for k in range(how.nonzero):
-        table[np.arange(how.buckets), rng.integers(0, how.size, how.buckets)] += rng.choice(np.float32([-1, 1]), how.buckets)
+    def run(batches):
+        import pyarrow as pa
+
+        counted: dict[str, int] = {}
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array([*counted], pa.string()), pa.array([*counted.values()], pa.int64())], names=["unit", "n"])
+            counted.clear()
+            return made
+
+        for batch in batches:
+            of(batch, counted)
+            if len(counted) > COUNTED:
+                yield out()
+        yield out()
+
+    return rows.mapInArrow(run, schema).groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def units(docs: DataFrame, how: Training = Training(), text_col: str = "text") -> list[str]:
+    """Pieces, then forms of the other pieces, that make up ``how.share`` of all pieces of all documents."""
+    bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "pieces")
+
+    def pieces(batch, counted):
+        from collections import Counter
+
+        own: Counter = Counter()
+        for text in texts(batch.column(0)):
+            if text:
+                own.update(_PIECES(text))
+        for piece, n in own.items():
+            counted[piece] = counted.get(piece, 0) + n
+
+    def forms(batch, counted):
+        for piece, n in zip(texts(batch.column(0), 10_000), texts(batch.column(1), 10_000)):
+            own = form(piece)
+            counted[own] = counted.get(own, 0) + n
+
+    found = scratch.keep(_counts(docs.select(F.col(text_col).cast("string").alias("text")), pieces, "unit string, n long"), "counts")
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") >= max(2, total * how.share)
+    shaped = _counts(found.filter(~often), forms, "unit string, n long").filter(often)
+    names = found.filter(often).unionByName(shaped)  # 2 / share rows at most, as each is that share of the pieces
+    scratch_names = scratch.keep(names.select("unit"), "names")
+    return sorted(r["unit"] for r in scratch_names.collect())
+
+
+def index_vectors(names: list[str], how: Training):
+    """The sparse random vectors, ``nonzero`` entries of 1 or -1 each, made from the hash of each name."""
+    import numpy as np
+    import xxhash
+
+    table = np.zeros((len(names) + 1, how.size), np.int32)
+    hashed = np.array([xxhash.xxh64_intdigest(n, how.seed) for n in [*names, ""]], np.uint64)
+    for _ in range(how.nonzero):
+        # The next number of each name's own sequence.
+        hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15)
+        np.add.at(table, (np.arange(len(hashed)), ((hashed >> np.uint64(40)) % np.uint64(how.size)).astype(np.int64)), np.where(hashed >> np.uint64(63), 1, -1))
     return table
 
 
+def word_vectors(docs: DataFrame, names: list[str], how: Training = Training(), text_col: str = "text"):
+    """One vector for each name and one for all else: sums of the index vectors around it in all documents.
+
+    Sums are whole numbers, so they do not depend on how the rows are dealt. Each task sends one row
+    for each of its names; the sums, ``len(names) + 1`` rows, go to the driver.
+    """
+    import numpy as np
+
+    bounded_batches(docs.sparkSession)
+    size, window = how.size, how.window
+
+    def gather(batches):
+        import pyarrow as pa
+
+        reader, seeds, n = Reader(names), index_vectors(names, how), len(names) + 1
+        total = np.zeros(seeds.shape, np.int64)
+        for batch in batches:
+            # All texts in a row, a piece of no text after each; pairs that lie apart within a text are counted.
+            flat = np.concatenate([np.append(reader.read(t), -1) for t in texts(batch.column(0))] or [np.zeros(0, np.int64)])
+            place = np.cumsum(flat < 0)
+            for d in range(1, window + 1):
+                inside = (place[:-d] == place[d:]) & (flat[:-d] >= 0) & (flat[d:] >= 0)
+                left, right = flat[:-d][inside], flat[d:][inside]
+                pairs, times = np.unique(np.concatenate([left * n + right, right * n + left]), return_counts=True)
+                for at in range(0, len(pairs), 1 << 16):
+                    own, near = np.divmod(pairs[at : at + (1 << 16)], n)
+                    named, starts = np.unique(own, return_index=True)
+                    total[named] += np.add.reduceat(seeds[near] * times[at : at + (1 << 16), None], starts)
+        some = np.flatnonzero(total.any(1))
+        for at in range(0, len(some), 4096):
+            own = some[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(total[own, j]) for j in range(size))], names=["unit", *(f"c{j}" for j in range(size))])
+
+    columns = [f"c{j}" for j in range(size)]
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    sums = rows.mapInArrow(gather, "unit long, " + ", ".join(f"{c} long" for c in columns)).groupBy("unit").agg(*[F.sum(c).alias(c) for c in columns])
+    total = np.zeros((len(names) + 1, size))
+    for batch in sums.toArrow().to_batches():
+        at = batch.column(0).to_numpy()
+        for j in range(size):
+            total[at, j] = batch.column(j + 1).to_numpy()
+    norms = np.linalg.norm(total, axis=1, keepdims=True)
+    return (total / np.maximum(norms, 1e-9) + how.own * index_vectors(names, how) / np.sqrt(how.nonzero)).astype(np.float32)
+
+
 def pooled(text: str | None, reader: Reader, vectors):
-    """Mean vector of the words, shares of the marks, and the length."""
+    """Mean and maximum of the pieces' vectors; zeros for a text without pieces."""
     import numpy as np
 
-    ids, marks = reader.read(text)
-    n = len(ids)
-    out = np.zeros(vectors.shape[1] + len(MARKS) + 1, np.float32)
-    if n:
-        mean = np.zeros(vectors.shape[1], np.float64)
-        for at in range(0, n, 8192):
-            mean += vectors[ids[at : at + 8192]].sum(0)
-        out[: vectors.shape[1]] = mean / n
-        out[vectors.shape[1] : -1] = np.bincount(marks, minlength=len(MARKS))[: len(MARKS)] / n if marks else 0
-        out[-2] = float(n < 50)
-    out[-1] = np.log1p(n) / 10
+    ids = reader.read(text)
+    size = vectors.shape[1]
+    out = np.zeros(2 * size, np.float32)
+    if len(ids):
+        mean, most = np.zeros(size), np.full(size, -np.inf, np.float32)
+        for at in range(0, len(ids), 8192):
+            own = vectors[ids[at : at + 8192]]
+            mean += own.sum(0)
+            np.maximum(most, own.max(0), out=most)
+        out[:size], out[size:] = mean / len(ids), most
     return out
 
 
 @dataclass
 class Model:
+    names: list[str]
     vectors: object
     mean: object
     scale: object
@@ -116,7 +223,6 @@ class Model:
     second: object
     second_bias: float
     temperature: float
-    buckets: int
 
     def logits(self, features):
         import numpy as np
@@ -130,67 +236,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(features) / self.temperature, -30, 30)))
 
 
-def learn(rows: DataFrame, how: Training = Training()) -> Model:
-    """A model from ``text, label`` rows, of which there are at most ``how.max_rows`` by contract.
+def learn(rows: DataFrame, docs: DataFrame, how: Training = Training()) -> Model:
+    """A model from ``text, label`` rows, at most ``how.max_rows`` by contract, with vectors from all ``docs``.
 
-    The driver gets ``how.parts`` tables of vectors and one small vector for each row. Null texts are
-    empty ones; rows without a label are left out; with no rows every score is one half.
+    The driver gets the vectors and one small vector for each row. Null texts are empty ones; rows
+    whose label is neither 0 nor 1 are left out; equal rows count as often as they are given, and a
+    text under both labels counts for both; texts of any length are read whole, a slice at a time.
+    Without documents all pieces share one vector, and without rows every score is one half.
     """
     import numpy as np
 
-    spark = rows.sparkSession
-    bounded_batches(spark)
-    kept = Scratch(spark, "quality").keep(rows.filter("label IN (0, 1)").repartition(how.parts), "training")
-    buckets, window, seeds = how.buckets, how.window, index_vectors(how)
-
-    def gather(batches):
-        import pyarrow as pa
-
-        reader, total = Reader(buckets), np.zeros_like(seeds)
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                ids, _ = reader.read(text)
-                for at in range(0, len(ids), 8192):
-                    own = ids[at : at + 8192]
-                    around = np.zeros((len(own), seeds.shape[1]), np.float32)
-                    for d in range(1, window + 1):
-                        around[d:] += seeds[own[:-d]]
-                        around[:-d] += seeds[own[d:]]
-                    order = np.argsort(own, kind="stable")
-                    named, starts = np.unique(own[order], return_index=True)
-                    total[named] += np.add.reduceat(around[order], starts)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["table"])
-
-    total = np.zeros_like(seeds)
-    for row in kept.select("text").mapInArrow(gather, "table binary").toLocalIterator():
-        total += np.frombuffer(row["table"], np.float32).reshape(seeds.shape)
-    norms = np.linalg.norm(total, axis=1, keepdims=True)
-    vectors = np.where(norms > 0, total / np.maximum(norms, 1e-9), 0) + 0.5 * seeds / np.sqrt(how.nonzero)
-    vectors = vectors.astype(np.float32)
+    bounded_batches(docs.sparkSession)
+    names = units(docs, how)
+    vectors = word_vectors(docs, names, how)
 
     def features(batches):
         import pyarrow as pa
 
-        reader = Reader(buckets)
+        reader = Reader(names)
         for batch in batches:
             made = [pooled(t, reader, vectors).tobytes() for t in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], names=["features", "label"])
 
+    kept = rows.filter("label IN (0, 1)").select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
     got = kept.mapInArrow(features, "features binary, label int").toPandas()
-    width = vectors.shape[1] + len(MARKS) + 1
+    width = 2 * vectors.shape[1]
     x = np.array([np.frombuffer(f, np.float32) for f in got["features"]], np.float64).reshape(-1, width)
     y = got["label"].to_numpy(np.float64)
     order = np.lexsort((*x.T[::-1], y))  # the same order however the rows arrive
-    return _fit(x[order], y[order], vectors, how)
+    return _fit(x[order], y[order], names, vectors, how)
 
 
-def _fit(x, y, vectors, how: Training) -> Model:
+def _fit(x, y, names, vectors, how: Training) -> Model:
     import numpy as np
 
     rng = np.random.default_rng(how.seed)
     width = x.shape[1]
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(width), np.ones(width))
-    model = Model(vectors, mean, scale, rng.normal(0, width**-0.5, (width, how.hidden)), np.zeros(how.hidden), np.zeros(how.hidden), 0.0, 1.0, how.buckets)
+    model = Model(names, vectors, mean, scale, rng.normal(0, width**-0.5, (width, how.hidden)), np.zeros(how.hidden), np.zeros(how.hidden), 0.0, 1.0)
     unseen = rng.random(len(x)) < 0.2
     a, b = x[~unseen], y[~unseen]
     if len(set(b)) < 2:
@@ -221,14 +304,19 @@ def _fit(x, y, vectors, how: Training) -> Model:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, predicted`` for every row; null texts are empty ones, which have a score too."""
+    """``doc_id, score, predicted`` for every row.
+
+    Null, empty and wordless texts have a score too, that of zero vectors; null ids and repeated rows
+    stay; texts of any length are read whole; a score equal to the threshold is predicted as 1; an
+    empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        reader = Reader(model.buckets)
+        reader = Reader(model.names)
         for batch in batches:
             x = np.array([pooled(t, reader, model.vectors) for t in texts(batch.column(1))], np.float64).reshape(batch.num_rows, -1)
             p = model.probability(x) if batch.num_rows else np.zeros(0)

@@ -56,9 +56,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents, a network fitted on labelled rows whose id is not held out, a score for every row."""
     docs, how = table(spark, sf_dir, "documents"), quality_model.Training()
     rows = labelled(docs, table(spark, sf_dir, "labels"), "quality", held_out("doc_id", 5, 0), how.max_rows)
-    scored = quality_model.score(docs, quality_model.learn(rows, how), threshold=0.3)
+    scored = quality_model.score(docs, quality_model.learn(Scratch(spark, "quality").keep(rows, "training"), docs, how), threshold=0.3)
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
