@@ -64,13 +64,14 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target corpus is every document that is labelled good and not toxic.
+    """The target corpus is every document that is labelled good and not toxic; all rows are scored.
 
     Labels grow with the documents, so they are never broadcast: the join shuffles at every size.
     """
-    docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
-    return lm_scores.cross_entropy_difference(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
+    flagged = docs.join(good.hint("merge"), docs["doc_id"] == good["good_id"], "left")
+    return lm_scores.cross_entropy_difference(flagged, F.col("good_id").isNotNull())
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
