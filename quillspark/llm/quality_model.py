@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,38 +52,67 @@ MEMORY, MEMORY_CHARS = 300_000, 48
 COUNTED = 300_000
 
 
+class _Kinds(dict):
+    """The kind of each character, found as it is met: ``X``, ``x``, ``9``, or a sign itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        if len(self) < 100_000:
+            self[code] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 def form(piece: str) -> str:
     """What a piece looks like: ``Xx9`` for its characters, runs cut to two, and the order of its length."""
-    kinds = "".join(["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in piece[:64]])
-    return f"{_FORM}{_RUNS.sub(r'\1\1', kinds)}{_FORM}{len(piece).bit_length()}"
+    return f"{_FORM}{_RUNS.sub(r'\1\1', piece[:64].translate(_KINDS))}{_FORM}{len(piece).bit_length()}"
 
 
 class Reader:
-    """Turns texts into the numbers of their pieces' vectors; what it remembers is bounded."""
+    """Turns texts into the numbers of their pieces' vectors; what it remembers is bounded.
+
+    Pieces never cross white space, so whole words are remembered with all their pieces.
+    """
 
     def __init__(self, units: list[str]):
         self.units = {u: i for i, u in enumerate(units)}
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.small = [self.units.get(form("x" * n), len(self.units)) for n in range(64)]
 
-    def _look(self, piece: str) -> int:
+    def _number(self, piece: str) -> int:
         found = self.units.get(piece)
-        if found is None:
-            found = self.units.get(form(piece), len(self.units))
-        if len(piece) <= MEMORY_CHARS:
+        return self.units.get(form(piece), len(self.units)) if found is None else found
+
+    def _look(self, word: str) -> tuple[int, ...]:
+        if word.isalpha():
+            found = (self._small(word),) if word.islower() else (self._number(word),)
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+            found = (self._small(word[:-1]) if word.islower() else self._number(word[:-1]), self._number(word[-1]))
+        else:
+            found = tuple([self._number(p) for p in _PIECES(word)])
+        if len(word) <= MEMORY_CHARS:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            self.known[piece] = found
+            self.known[word] = found
         return found
 
+    def _small(self, piece: str) -> int:
+        """The number of a piece of small letters alone: most rare ones are, and their form hangs on their length only."""
+        found = self.units.get(piece)
+        return self.small[len(piece)] if found is None and len(piece) < 64 else self._number(piece) if found is None else found
+
     def read(self, text: str | None):
         """Vector numbers of a text's pieces; a piece whose form is rare, too, has the number after the last."""
         import numpy as np
 
-        pieces = _PIECES(text) if text else []
-        found = [*map(self.known.get, pieces)]
+        words = text.split() if text else []
+        found = [*map(self.known.get, words)]
         if None in found:
-            found = [self._look(p) if n is None else n for p, n in zip(pieces, found)]
-        return np.fromiter(found, np.int64, len(found))
+            found = [self._look(w) if n is None else n for w, n in zip(words, found)]
+        return np.fromiter(chain.from_iterable(found), np.int64)
 
 
 def _counts(rows: DataFrame, of, schema: str) -> DataFrame:
@@ -118,9 +148,10 @@ def units(docs: DataFrame, how: Training = Training(), text_col: str = "text") -
         own: Counter = Counter()
         for text in texts(batch.column(0)):
             if text:
-                own.update(_PIECES(text))
-        for piece, n in own.items():
-            counted[piece] = counted.get(piece, 0) + n
+                own.update(text.split())
+        for word, n in own.items():
+            for piece in _PIECES(word):
+                counted[piece] = counted.get(piece, 0) + n
 
     def forms(batch, counted):
         for piece, n in zip(texts(batch.column(0), 10_000), texts(batch.column(1), 10_000)):
