@@ -29,6 +29,19 @@ def picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores before it as no column needs to clash with it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def tokenizer_path() -> str:
     """The default vocabulary file; operators take the path as a parameter."""
     import public_tokenizers

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import column, fresh
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -43,7 +45,7 @@ RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY(?: BLOCK)?-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
 )
 
@@ -90,18 +92,16 @@ class Ledger:
         if scanned is None:
             return rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("pending", every)
         met = scanned.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("met"))
-        new = rows.select("blob").distinct().join(met, "blob", "left").select("blob", F.when(F.col("met").isNull(), every).otherwise(F.array_except(every, "met")).alias("pending"))
-        new = new.filter(F.size("pending") > 0)
-        return rows.join(new.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text")).join(new, "blob")
+        # Copies go before the shuffle and texts are dealt once, by the address that the ledger is joined on.
+        once = rows.groupBy("blob").agg(F.first("text").alias("text")).join(met, "blob", "left")
+        return once.select("blob", "text", F.when(F.col("met").isNull(), every).otherwise(F.array_except(every, "met")).alias("pending")).filter(F.size("pending") > 0)
 
     def scan(self, history: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
-        """Bring the ledger up to date with every version in ``history``."""
+        """Bring the ledger up to date with every version in ``history``: only pending pairs are scanned and noted."""
         run = uuid.uuid4().hex
         pending = self.pending(history, text_col, rules)
         hits(pending, rules).write.parquet(f"{self.path}/findings/{run}")
-        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        done = history.select(blob_of(text).alias("blob")).distinct().withColumn("rules", F.array(*[F.lit(r.key) for r in rules]))
-        done.write.parquet(f"{self.path}/scanned/{run}")
+        pending.select("blob", F.col("pending").alias("rules")).write.parquet(f"{self.path}/scanned/{run}")
 
 
 FINDINGS = "blob string, kind string, rule string, start long, end long"
@@ -163,30 +163,45 @@ def digest(spans: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by ``[SECRET]``."""
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The text with ``spans`` (``start, end``, in order and apart from each other) replaced by ``[SECRET]``.
+
+    Few spans are cut out of the text; many, for which each cut would walk the text anew, out of the
+    list of its characters.
+    """
+
+    def cut(piece) -> Column:
+        def before(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, spans[i - 1]["end"]).otherwise(F.lit(0).cast("long"))
+            return F.concat(piece(at, s["start"] - at), F.lit("[SECRET]"))
+
+        last = F.element_at(spans, -1)["end"]
+        return F.concat(F.array_join(F.transform(spans, before), ""), piece(last, F.length(text) - last))
 
-    def step(done: Column, s: Column) -> Column:
-        apart = s["start"] >= done["at"]
-        kept = F.substring(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
-        parts = F.when(apart, F.concat(done["parts"], F.array(kept, F.lit("[SECRET]")))).otherwise(done["parts"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), parts.alias("parts"))
+    plain = cut(lambda at, n: F.substring(text, (at + 1).cast("int"), n.cast("int")))
+    listed = F.transform(F.array(F.split(text, "")), lambda c: cut(lambda at, n: F.array_join(F.slice(c, (at + 1).cast("int"), n.cast("int")), "")))[0]
+    return F.when(F.size(spans) == 0, text).when(F.size(spans) <= 32, plain).otherwise(listed)
 
-    def joined(done: Column) -> Column:
-        return F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, empty, step, joined))
+def runs(findings: DataFrame) -> DataFrame:
+    """``blob, start, end`` of each run of findings that overlap or touch one another's inside."""
+    w = Window.partitionBy("blob").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = (reach.isNull() | (F.col("start") >= reach)).cast("int")
+    numbered = findings.select("blob", "start", "end", first.alias("first")).withColumn("run", F.sum("first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def with_redactions(ledger: Ledger, docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows and columns of ``docs``, with secrets in the text redacted and its length counted anew.
 
-    Only blobs with findings are joined in; a null text stays null.
+    Only blobs with findings are joined in; a null text stays null; repeated rows stay; texts of any
+    length are read whole; an empty table gives no rows. Columns of any name stay as they are.
     """
-    span = F.struct("start", "end")
-    found = ledger.findings(rules).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("_spans"))
-    joined = docs.withColumn("_blob", blob_of(F.col(text_col))).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    joined = joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans"))))
+    blob, spans = fresh("blob", docs.columns), fresh("spans", docs.columns)
+    found = runs(ledger.findings(rules)).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans)).withColumnRenamed("blob", blob)
+    joined = docs.withColumn(blob, blob_of(F.col(text_col).cast("string"))).join(found, blob, "left")
+    changed = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col(spans)))
+    columns = {c: column(c) for c in docs.columns} | {text_col: changed}
     if chars_col in docs.columns:
-        joined = joined.withColumn(chars_col, F.when(F.col("_spans").isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
-    return joined.drop("_blob", "_spans")
+        columns[chars_col] = F.when(F.col(spans).isNull(), F.col(chars_col)).otherwise(F.length(changed)).cast(docs.schema[chars_col].dataType)
+    return joined.select(*[c.alias(name) for name, c in columns.items()])

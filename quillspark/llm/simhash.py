@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import Scratch
-from .common import bounded_batches, picked
+from .common import bounded_batches, fresh, picked
 from .components import connected
 from .tokens import texts
 
@@ -71,7 +71,9 @@ def variants(distinct: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges ``a, b`` that connect the same fingerprints as all pairs within ``DISTANCE`` bits would."""
-    index = variants(distinct)
+    # Few bytes become 64 times as many, so they are dealt to all tasks first; adaptive execution would leave one or two.
+    width = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = variants(distinct.repartition(width))
     keys = scratch.keep(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "keys")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
     pairs = keys.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).filter(near)
@@ -145,13 +147,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with a null id are kept only where their component has no other id. Of the rows that repeat
     the chosen id and fingerprint one stays; a fingerprint has one component, so ids may be null or
-    repeat. Numbers are matched, not texts, so a group of any size shuffles numbers.
+    repeat. Numbers are matched, not texts. Null texts are empty ones, texts of any length are read
+    whole, and an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "representatives")
     rooted = _rooted(scratch.keep(fingerprints(docs, id_col, text_col, words), "fingerprints"), scratch)
     first = F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first")
     chosen = scratch.keep(rooted.groupBy("root").agg(first).select(F.col("first.least").alias("least"), F.col("first.fp").alias("fp")), "chosen")
-    own, where = "_fingerprint_of_row", docs.columns.index(text_col)
+    own, where = fresh("fingerprint_of_row", docs.columns), docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa

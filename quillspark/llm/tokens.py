@@ -1,6 +1,6 @@
 """Byte-level BPE encoding with bounded memory, for Arrow batches of whole texts.
 
-The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. A pre-token boundary of the
+The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` of the tokenizer as loaded. A pre-token boundary of the
 byte-level pattern lies before every space that a non-space character follows, so a text may be cut
 there and the pieces encoded (and remembered) one by one; no text is ever encoded as a whole.
 """
@@ -40,7 +40,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens that a text spells are those tokens, as the library has it; texts are cut at them, the longest first.
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {c: array("I", [i]).tobytes() for c, i in added.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.model = self.tokenizer.model
         self.split = regex.compile(PRE_TOKEN).findall
         self.table = {i: c for i, c in enumerate(byte_characters())}
@@ -95,6 +98,11 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.cuts and self.cuts.search(text):
+            return b"".join([self.added.get(p) or self._plain(p) for p in self.cuts.split(text) if p])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         first, *pieces = text.split(" ")
         ids = [*map(self.young.get, pieces)]
         if None in ids:

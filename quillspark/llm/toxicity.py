@@ -2,12 +2,14 @@
 
 Texts are folded first: lower case, look-alike letters of other scripts to Latin ones, and digits or
 signs inside words to the letters they stand for. The lexicon and its weights are learnt from labelled
-rows: word stems that toxic texts have far more often than others. Phrases in which a term is harmless
-are exceptions; their occurrences hide the terms inside them.
+rows: words and word stems that toxic texts have significantly more often than others. Phrases of a
+term and the word beside it that only clean texts have are exceptions; their occurrences hide the
+terms inside them.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -27,9 +29,7 @@ _PAIRS = (
 )
 HOMOGLYPHS = {pair[0]: pair[1] for pair in _PAIRS.split()}
 # Digits and signs that stand for letters within a word.
-DIGITS = dict(zip("013457@$!|", "oieastasil"))
-# Phrases that hold a term without its force.
-EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "clownfish", "sore loser bracket", "idiot proof", "moron mountain")
+DIGITS = dict(zip("0123456789@$!|", "oizeasgtbgasil"))
 
 
 def _fold_table() -> dict[int, str]:
@@ -40,21 +40,31 @@ def _fold_table() -> dict[int, str]:
 
 
 _FOLDS = _fold_table()
-_MIXED = re.compile(r"[^\W\d_]*[013457@$!|](?=[^\W\d_])[\w@$!|]*|[^\W\d_]+[013457@$!|]+[^\W\d_][\w@$!|]*")
+_RUN = re.compile(r"[\w@$!|]+")
+_MIXED = re.compile(r"[0-9@$!|][^\W\d_]").search
 _LEET = str.maketrans(DIGITS)
 #: Marks the end of a counted word.
 END = "$"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _spelt(run: re.Match) -> str:
+    """The run with letters for its digits and signs, if one stands before a letter; signs at its end stay."""
+    text = run[0]
+    if not _MIXED(text):
+        return text
+    kept = text.rstrip("@$!|_")
+    return kept.translate(_LEET) + text[len(kept) :]
+
+
 def fold(text: str | None) -> str:
-    """Lower case, one Latin form of look-alikes, letters for digits inside words."""
+    """Lower case, one Latin form of look-alikes, letters for digits inside words; in time linear in the length."""
     if not text:
         return ""
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFC", text.translate(_FOLDS))
-    return _MIXED.sub(lambda m: m[0].translate(_LEET), text)
+    return _RUN.sub(_spelt, text) if _MIXED(text) else text
 
 
 @dataclass
@@ -63,7 +73,7 @@ class Lexicon:
 
     weights: dict[str, float]
     stems: set[str] = field(default_factory=set)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     #: A text of so many words has its weights counted in full; longer ones less, by the square root.
     words: int = 200
     slope: float = 1.0
@@ -78,13 +88,17 @@ class Lexicon:
             for term, weight in self.weights.items():
                 machine.add_word(term, (len(term), weight, term in self.stems))
             for phrase in self.exceptions:
-                machine.add_word(phrase, (len(phrase), None, False))
+                if phrase not in self.weights:
+                    machine.add_word(phrase, (len(phrase), None, False))
             machine.make_automaton()
             self._machine = machine
         return self._machine
 
     def matches(self, folded: str) -> list[tuple[int, int, float]]:
-        """Spans and weights of terms at the start of a word (whole words unless stems), without exceptions."""
+        """Spans and weights of terms at the start of a word (whole words unless stems), in order, without exceptions.
+
+        An exception hides the terms that lie inside it; spans and exceptions are walked once.
+        """
         if not self.weights:
             return []
         found, hidden = [], []
@@ -96,7 +110,16 @@ class Lexicon:
                 hidden.append((start, end))
             else:
                 found.append((start, end, weight))
-        return [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in hidden)] if hidden else found
+        found.sort()
+        hidden.sort()
+        kept, at, reach = [], 0, 0
+        for start, end, weight in found:
+            while at < len(hidden) and hidden[at][0] <= start:
+                reach = max(reach, hidden[at][1])
+                at += 1
+            if reach < end:
+                kept.append((start, end, weight))
+        return kept
 
     def raw(self, text: str | None) -> float:
         """Sum of weights over the root of the length beyond ``words``."""
@@ -113,18 +136,24 @@ class Lexicon:
 class Training:
     #: The most labelled rows that are used, the first by a hash of their id.
     max_rows: int = 20_000
-    #: A term occurs in at least so many toxic texts and in this share of the texts that are toxic.
+    #: A term occurs in at least so many toxic texts, and this share of the texts that have it is toxic.
     min_toxic: int = 4
     min_precision: float = 0.9
-    min_share: float = 0.004
+    #: How unlikely a term's counts are by chance: at least so many nats of log likelihood ratio.
+    significance: float = 12.0
+    #: Whole words have this many letters or more, stems as many as the next says to the last.
+    min_word: int = 2
     min_chars: int = 4
     max_chars: int = 12
+    #: An exception occurs in at least so many clean texts, and this share of the texts that have it is clean.
+    min_clean: int = 3
+    clean_precision: float = 0.95
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", how: Training = Training()) -> Lexicon:
     """A lexicon from labelled rows; null labels and texts are left out, no rows give no terms.
 
-    Words and their prefixes are counted in the executors, once for each text and label; only terms
+    Repeated rows count as often as they are given; texts are read whole. Words and their prefixes are counted in the executors, once for each text and label; only terms
     that pass the thresholds reach the driver.
     """
     bounded_batches(labelled.sparkSession)
@@ -144,7 +173,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
         for batch in batches:
             for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                words = {w for w in _WORD.findall(fold(text)) if len(w) >= how.min_chars}
+                words = {w for w in _WORD.findall(fold(text)) if len(w) >= how.min_word}
                 counted[label].update({w[:n] for w in words for n in range(how.min_chars, min(len(w), how.max_chars) + 1)} | {w + END for w in words})
             if len(counted[0]) + len(counted[1]) > 300_000:
                 yield out()
@@ -152,13 +181,46 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
     classes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = classes.get(1, 0), classes.get(0, 0)
-    # A word of one much copied text is no term: beyond a floor, terms reach a share of the toxic texts.
-    floor = max(how.min_toxic, how.min_share * n_toxic)
+    if not n_toxic or not n_clean:
+        return Lexicon({}, offset=-3.0 if n_clean else 0.0)
     sums = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = sums.filter((F.col("toxic") >= floor) & (F.col("toxic") >= how.min_precision * (F.col("toxic") + F.col("clean"))))
-    found = {r["term"]: (r["toxic"], r["clean"]) for r in kept.collect()}  # at most max_chars / min_share words' prefixes a text
+    both, prior = F.col("toxic") + F.col("clean"), n_toxic / (n_toxic + n_clean)
+    gain = F.col("toxic") * F.log(F.col("toxic") / (both * prior)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - prior)))).otherwise(0.0)
+    kept = sums.filter((F.col("toxic") >= how.min_toxic) & (F.col("toxic") >= how.min_precision * both)).filter(gain >= how.significance)
+    found = {r["term"]: (r["toxic"], r["clean"]) for r in kept.collect()}  # bounded by the words of max_rows texts over min_toxic
     weights, stems = _terms(found, n_toxic, n_clean)
-    return calibrated(Lexicon(weights, stems), rows)
+    lexicon = Lexicon(weights, stems)
+    lexicon.exceptions = _exceptions(lexicon, rows, how)
+    lexicon._machine = None
+    return calibrated(lexicon, rows)
+
+
+def _exceptions(lexicon: Lexicon, rows: DataFrame, how: Training) -> tuple[str, ...]:
+    """Phrases of a matched word and its neighbour that clean texts have and toxic ones hardly do."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            counted: Counter = Counter()
+            for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
+                folded = fold(text)
+                found = lexicon.matches(folded)
+                if not found:
+                    continue
+                words = [m.span() for m in _WORD.finditer(folded)]
+                starts, phrases = [a for a, _ in words], set()
+                for start, _, _ in found:
+                    i = bisect.bisect_right(starts, start) - 1
+                    phrases |= {folded[words[j][0] : words[j + 1][1]] for j in (i - 1, i) if 0 <= j < len(words) - 1 and words[j + 1][1] - words[j][0] <= 64}
+                counted.update((p, label) for p in phrases)
+            pairs = [*counted]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.int32()), pa.array([counted[p] for p in pairs], pa.int64())], names=["phrase", "label", "n"])
+
+    toxic, clean = (F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)) for y in (1, 0))
+    sums = rows.mapInArrow(count, "phrase string, label int, n long").groupBy("phrase").agg(toxic.alias("toxic"), clean.alias("clean"))
+    kept = sums.filter((F.col("clean") >= how.min_clean) & (F.col("clean") >= how.clean_precision * (F.col("toxic") + F.col("clean"))))
+    return tuple(sorted(r["phrase"] for r in kept.select("phrase").collect()))
 
 
 def _terms(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], set[str]]:
@@ -225,7 +287,12 @@ def calibrated(lexicon: Lexicon, rows: DataFrame) -> Lexicon:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, predicted`` for every row; null and empty texts have the score of no match."""
+    """``doc_id, score, predicted`` for every row.
+
+    Null and empty texts have the score of no match; null ids and repeated rows stay; texts of any
+    length are read whole, in linear time; a score equal to the threshold is predicted as 1; an empty
+    table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
     lexicon._machine = None
 
@@ -241,7 +308,10 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: str
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``threshold``; null texts score as empty ones."""
+    """The rows of ``docs``, all columns, that score below ``threshold``.
+
+    Null texts score as empty ones; repeated rows stay or go together; an empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
     lexicon._machine = None
     where = docs.columns.index(text_col)
