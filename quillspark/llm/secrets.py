@@ -162,11 +162,15 @@ def digest(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
+#: More spans than these are cut out of the list of a text's characters: each cut of the text walks it anew.
+FEW = 32
+
+
+def redacted(text: Column, spans: Column, characters: Column) -> Column:
     """The text with ``spans`` (``start, end``, in order and apart from each other) replaced by ``[SECRET]``.
 
-    Few spans are cut out of the text; many, for which each cut would walk the text anew, out of the
-    list of its characters.
+    ``characters`` is the list of the text's characters where there are more than ``FEW`` spans; it must
+    be a column, so that it is made once.
     """
 
     def cut(piece) -> Column:
@@ -178,8 +182,8 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.concat(F.array_join(F.transform(spans, before), ""), piece(last, F.length(text) - last))
 
     plain = cut(lambda at, n: F.substring(text, (at + 1).cast("int"), n.cast("int")))
-    listed = F.transform(F.array(F.split(text, "")), lambda c: cut(lambda at, n: F.array_join(F.slice(c, (at + 1).cast("int"), n.cast("int")), "")))[0]
-    return F.when(F.size(spans) == 0, text).when(F.size(spans) <= 32, plain).otherwise(listed)
+    listed = cut(lambda at, n: F.array_join(F.slice(characters, (at + 1).cast("int"), n.cast("int")), ""))
+    return F.when(F.size(spans) <= FEW, plain).otherwise(listed)
 
 
 def runs(findings: DataFrame) -> DataFrame:
@@ -200,8 +204,11 @@ def with_redactions(ledger: Ledger, docs: DataFrame, text_col: str = "text", cha
     blob, spans = fresh("blob", docs.columns), fresh("spans", docs.columns)
     found = runs(ledger.findings(rules)).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans)).withColumnRenamed("blob", blob)
     joined = docs.withColumn(blob, blob_of(F.col(text_col).cast("string"))).join(found, blob, "left")
-    changed = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col(spans)))
-    columns = {c: column(c) for c in docs.columns} | {text_col: changed}
+    letters = fresh("letters", joined.columns)
+    joined = joined.withColumn(letters, F.when(F.size(spans) > FEW, F.split(text_col, "")))
+    own = F.col(spans)
+    columns = {c: column(c) for c in docs.columns} | {text_col: F.when(own.isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), own, F.col(letters)))}
     if chars_col in docs.columns:
-        columns[chars_col] = F.when(F.col(spans).isNull(), F.col(chars_col)).otherwise(F.length(changed)).cast(docs.schema[chars_col].dataType)
+        gone = F.aggregate(own, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"] - len("[SECRET]"))
+        columns[chars_col] = F.when(own.isNull(), F.col(chars_col)).otherwise(F.length(text_col) - gone).cast(docs.schema[chars_col].dataType)
     return joined.select(*[c.alias(name) for name, c in columns.items()])

@@ -140,7 +140,7 @@ class Training:
     min_toxic: int = 4
     min_precision: float = 0.9
     #: How unlikely a term's counts are by chance: at least so many nats of log likelihood ratio.
-    significance: float = 12.0
+    significance: float = 8.0
     #: Whole words have this many letters or more, stems as many as the next says to the last.
     min_word: int = 2
     min_chars: int = 4

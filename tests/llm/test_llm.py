@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import components, decontamination, lm_scores, packing, pii, quality_model, quality_rules, secrets, simhash, token_files, tokens, toxicity
+from quillspark.llm import components, decontamination, lm_scores, packing, pii, quality_model, quality_rules, queries, secrets, simhash, token_files, tokens, toxicity
 from quillspark.llm.common import tokenizer_path
 from quillspark.session import Scratch
 
@@ -53,7 +54,6 @@ def encode():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -125,7 +125,56 @@ def test_crossover_keeps_every_item_once():
 def test_fold():
     assert toxicity.fold("Тrаsh tr4sh ｔｒａｓｈ st​upid") == "trash trash trash stupid"
     assert toxicity.fold("in 2024 pay 100") == "in 2024 pay 100"
-    assert toxicity.fold(None) == ""
+    assert toxicity.fold(None) == "" and toxicity.fold("8ad tr4sh!! 9one wow!!") == "bad trash!! gone wow!!"
+
+
+def seconds(f, *args):
+    began = time.perf_counter()
+    f(*args)
+    return time.perf_counter() - began
+
+
+def test_long_texts_take_linear_time():
+    lexicon = toxicity.Lexicon({"trash": 3.0}, exceptions=("trash can",))
+    for text in ("a" * 1_000_000, "a4" * 500_000, "!" * 1_000_000, "4" * 1_000_000, "trash can " * 100_000):
+        assert seconds(lexicon.score, text) < 5
+    judge = pii.train(how=pii.Training(generated=800))
+    for text in ("+1 (376) 555-9077 " * 55_000, "030 555-1234 " * 77_000, "eyJ" * 333_000, "a@" * 500_000):
+        assert seconds(pii.spans_of, text, judge) < 15
+
+
+def test_matches_equal_a_plain_scan():
+    rng = random.Random(14)
+    lexicon = toxicity.Lexicon({"ab": 1.0, "abc": 2.0, "ca": 1.5, "b": 0.5}, stems={"ab", "ca"}, exceptions=("ab c", "ca ca"))
+    for _ in range(2000):
+        text = "".join(rng.choices("abc ", k=rng.randint(0, 14)))
+
+        def places(term, stem):
+            for at in range(len(text)):
+                end = at + len(term)
+                if text.startswith(term, at) and not (at and text[at - 1].isalpha()) and (stem or end == len(text) or not text[end].isalpha()):
+                    yield at, end
+
+        hidden = [x for e in lexicon.exceptions for x in places(e, False)]
+        wanted = sorted((a, b, w) for t, w in lexicon.weights.items() for a, b in places(t, t in lexicon.stems) if not any(x <= a and b <= y for x, y in hidden))
+        assert lexicon.matches(text) == wanted, text
+
+
+def held_out_auc(scored, labels, column):
+    data = scored.join(labels, "doc_id").filter("held_out").select("score", column, "predicted").collect()
+    good, bad = ([r["score"] for r in data if r[column] == y] for y in (1, 0))
+    return np.mean([(g > np.array(bad)).mean() + (g == np.array(bad)).mean() / 2 for g in good]), data
+
+
+def test_models_on_real_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("needs the test tables")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    auc, data = held_out_auc(queries.op2_toxicity(spark, folder), labels, "toxic")
+    assert auc > 0.85 and sum(r["predicted"] > r["toxic"] for r in data) <= 0.05 * len(data)
+    auc, _ = held_out_auc(queries.op8_quality_model(spark, folder), labels, "quality")
+    assert auc > 0.95
 
 
 def test_toxicity_learns_stems_words_and_exceptions(spark, edges):
@@ -137,17 +186,21 @@ def test_toxicity_learns_stems_words_and_exceptions(spark, edges):
         if i % 5 == 0:
             words[3] = rng.choice(["trash", "vequling"[:4] + rng.choice(["oir", "ance", "ez", "ter"])])
             words[9] = words[3]
+        elif i % 97 == 1:
+            words[5:7] = ["trash", "can"]
         data.append((" ".join(words), int(i % 5 == 0)))
     lexicon = toxicity.learn(spark.createDataFrame(data[:600], "text string, label int"), label_col="label")
     assert "trash" in lexicon.weights and "trash" not in lexicon.stems
     held = [(lexicon.score(t) >= 0.7, bool(y)) for t, y in data[600:]]
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
+    assert "trash can" in lexicon.exceptions
     assert not lexicon.matches("the trash can is here") and lexicon.matches("the trash is here")
     assert lexicon.score("such tr4sh, ТRASH") > lexicon.score("nothing")
     got = toxicity.score(edges, lexicon).collect()
     assert len(got) == len(EDGES) and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score(edges, toxicity.learn(spark.createDataFrame([], "text string, label int"), label_col="label")).count() == len(EDGES)
     assert toxicity.without_toxic(edges, lexicon).count() == len(EDGES)
+    assert toxicity.score(edges.limit(0), lexicon).count() == toxicity.without_toxic(edges.limit(0), lexicon).count() == 0
 
 
 # --- 3 SimHash -----------------------------------------------------------------------------------
@@ -208,6 +261,9 @@ def test_representatives(spark, edges):
     kept = simhash.representatives(edges).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 4, 5, 6]
     assert set(kept[0].asDict()) == set(edges.columns)
+    assert simhash.representatives(edges.limit(0)).count() == 0
+    odd = edges.withColumnsRenamed({"label": "fingerprint_of_row", "score": "fp"})
+    assert simhash.representatives(odd).columns == odd.columns and simhash.representatives(odd).count() == len(kept)
 
 
 def test_representatives_where_ids_are_null_or_repeat(spark):
@@ -265,6 +321,7 @@ SECRETS = [
     "é" * 5 + "0123456789abcdef01234567" * 2 + " token=0123456789abcdef0123456789",
     "ghp_" + "a1B2" * 10 + " -----BEGIN RSA PRIVATE KEY-----",
     "passwd" + " " * 50 + "x" + " token" * 200,
+    "xeyJabcdefghi.abcdefghi.abcdefghi eyJabcdefghi.abcdefghi.abcdefghi " + "token=abcdef1 " * 60,
 ]
 
 
@@ -281,9 +338,21 @@ def test_secrets(spark, edges):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
     added = next(r["spans"] for r in found if r["doc_id"] == 104)
     assert "forge_token:0:44" in added and "private_key:45:" in added
-    clean = {r["doc_id"]: r["text"] for r in secrets.with_redactions(ledger, docs.withColumn("n_chars", F.lit(1)), "text").collect()}
+    redactions = secrets.with_redactions(ledger, docs.withColumn("n_chars", F.lit(1)), "text").collect()
+    clean = {r["doc_id"]: r["text"] for r in redactions}
     assert clean[104] == "[SECRET] [SECRET]" and clean[100] == SECRETS[0] and clean[1] is None
     assert "0123456789abcdef" not in clean[103]
+    assert all(r["n_chars"] == (1 if r["text"] in (None, *[x for _, x in rows(docs)]) else len(r["text"])) for r in redactions)
+    assert clean[106] == "xeyJabcdefghi.abcdefghi.abcdefghi [SECRET] " + "[SECRET] " * 60
+    odd = docs.withColumnsRenamed({"doc_id": "blob"}).withColumn("spans", F.lit("x")).withColumn("a.b", F.lit(1))
+    assert secrets.with_redactions(ledger, odd).columns == odd.columns
+    assert secrets.with_redactions(ledger, docs.limit(0)).count() == 0
+
+
+def test_long_runs_of_token_starts(spark):
+    docs = spark.createDataFrame([(1, "eyJ" * 333_000), (2, "AKIA" * 100_000)], "doc_id long, text string")
+    ledger = secrets.Ledger(spark, Scratch(spark, "t").path)
+    assert seconds(ledger.scan, docs) < 15
 
 
 def test_ledger_scans_only_what_is_new(spark):
@@ -297,8 +366,10 @@ def test_ledger_scans_only_what_is_new(spark):
     assert ledger.pending(more, "text", rules).count() == 1
     newer = (secrets.Rule("assign", rules[0].pattern, 2, 6, version=2, base=True),)
     assert ledger.pending(more, "text", newer).count() == 3
-    ledger.scan(more, rules=rules)
-    ledger.scan(more, rules=rules)
+    assert ledger.scanned().count() == 2
+    for _ in range(3):
+        ledger.scan(more, rules=rules)
+        assert ledger.scanned().count() == 3
     assert ledger.findings(rules).count() == 2 and ledger.findings(newer).count() == 0
     assert ledger.pending(history.limit(0), "text", newer).count() == 0
 
@@ -331,6 +402,19 @@ def test_quality_rules(spark, edges):
     assert sorted(r.name for r in quality_rules.cascade_order(docs)) == sorted(r.name for r in quality_rules.RULES)
 
 
+def test_rule_order_follows_costs_and_rejections(spark):
+    rules = [quality_rules.Rule(n, "TRUE") for n in "abcd"]
+    # b rejects most at the low cost; d rejects ten times as many as c at a cost a hundred times as high.
+    for noise in (0.8, 1.0, 1.3):
+        assert [r.name for r in quality_rules.ordered(rules, [(1.0 * noise, 5), (1.2, 50), (0.9 / noise, 2), (100.0 * noise, 20)])] == ["b", "a", "c", "d"]
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 97}x{i * j % 89}" for j in range(80)) + (" #" * 20 if i % 4 == 0 else "")) for i in range(200)], "doc_id long, text string")
+    dear = quality_rules.Rule("dear", r"length(regexp_replace(text, '[^#]', '')) > 9 AND n_words > 0")
+    cheap = quality_rules.Rule("cheap", "n_symbols > 9")
+    none = quality_rules.Rule("none", "n_words < 0")
+    orders = {tuple(r.name for r in quality_rules.cascade_order(docs, rules=(none, dear, cheap))) for _ in range(3)}
+    assert orders == {("cheap", "dear", "none")}
+
+
 # --- 7 decontamination ---------------------------------------------------------------------------
 
 
@@ -403,64 +487,103 @@ def test_quality_model(spark, edges):
         return rng.choice((" ".join(x for x in w for _ in range(9)), " ".join(x.upper() + "!!" for x in w * 6), " ".join(x + "###" for x in w * 6)))
 
     data = [(text(i % 4 > 0), int(i % 4 > 0)) for i in range(800)]
-    model = quality_model.learn(spark.createDataFrame(data[:600], "text string, label int"))
+    corpus = spark.createDataFrame(data, "text string, label int")
+    model = quality_model.learn(spark.createDataFrame(data[:600], "text string, label int"), corpus, quality_model.Training(share=1e-4))
     held = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data[600:])], "doc_id long, text string")
     got = {r["doc_id"]: r for r in quality_model.score(held, model).collect()}
     right = sum((got[i]["score"] >= 0.5) == bool(y) for i, (_, y) in enumerate(data[600:]))
     assert right >= 0.95 * 200 and model.temperature > 0
     edge = quality_model.score(edges, model).collect()
     assert len(edge) == len(EDGES) and all(0 <= r["score"] <= 1 for r in edge)
-    blank = quality_model.learn(spark.createDataFrame([], "text string, label int"))
+    blank = quality_model.learn(spark.createDataFrame([], "text string, label int"), edges.limit(0))
+    assert quality_model.score(edges.limit(0), model).count() == 0
     assert {r["score"] for r in quality_model.score(edges, blank).collect()} == {0.5}
 
 
+def test_word_vectors_equal_plain_sums(spark, edges):
+    docs = edges.select("text").unionByName(spark.createDataFrame([("a b, a!! c a b " * 30,), ("B a b RARE1 c",)], "text string"))
+    how = quality_model.Training(share=1e-5, window=2, own=0.0)
+    names = quality_model.units(docs, how)
+    texts = [r["text"] for r in docs.collect()]
+    pieces = [re.findall(r"[^\W_]+|[^\w\s]+|_+", t or "") for t in texts]
+    assert {p for own in pieces for p in own if sum(x.count(p) for x in pieces) > 1 and p != "word"} <= set(names)
+    number = {n: i for i, n in enumerate(names)}
+    seeds, total = quality_model.index_vectors(names, how), np.zeros((len(names) + 1, how.size))
+    for own in pieces:
+        ids = [number.get(p, number.get(quality_model.form(p), len(names))) for p in own]
+        for i, n in enumerate(ids if len(set(own)) > 1 else []):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(ids):
+                    total[n] += seeds[ids[j]]
+    word, norms = number["word"], np.linalg.norm(total, axis=1, keepdims=True)
+    got = quality_model.word_vectors(docs, names, how)
+    keep = [i for i in range(len(names)) if i != word]
+    assert np.allclose(got[keep], (total / np.maximum(norms, 1e-9))[keep], atol=1e-5)
+
+
 # --- 9 language-model scores ---------------------------------------------------------------------
 
 
-def test_lm_scores(spark, edges, small):
+def test_lm_probabilities_sum_to_one(small):
+    texts = [t for _, t in rows(small)][:40]
+    codes, n = np.unique(lm_scores.grams(texts)[0], return_counts=True)
+    bigrams = np.bincount(codes & 0xFFFF, n, 1 << 16)
+    block = lm_scores.Block.of(codes, np.stack([n, 2 * n], 1), [bigrams, 2 * bigrams])
+    rng = random.Random(1)
+    for context in [*rng.sample([int(c) >> 8 for c in codes], 300), 0, 123456789]:
+        p = np.exp(-block.losses(np.array([context << 8 | z for z in range(256)])))
+        assert np.abs(p.sum(0) - 1).max() < 1e-6
+
+
+@pytest.mark.parametrize("block", [lm_scores.BLOCK, 3000])
+def test_lm_scores(spark, small, edges, block):
+    """Against plain counts of strings; the corpora are disjoint and of the same size."""
     import math
     from collections import Counter
 
-    target = small.filter("doc_id % 3 = 0")
-
-    def counts(docs):
-        four, three, two = Counter(), Counter(), Counter()
-        for _, t in docs:
-            b = b"\xff" * 3 + t.encode() + b"\xff"
-            for i in range(len(b) - 3):
-                c = np.array([int.from_bytes(b[i : i + 4], "big")], np.uint32)
-                x, y = (int(v[0]) for v in lm_scores.cells(c))
-                four[x] += 1
-                three[y] += 1
-                two[b[i + 2], b[i + 3]] += 1
-        return four, three, two
-
-    def loss(text, model):
-        four, three, two = model
-        before, after = Counter(), Counter()
-        for (a, z), n in two.items():
-            before[a] += n
-            after[z] += n
-        total, b, out = sum(two.values()), b"\xff" * 3 + text.encode() + b"\xff", 0.0
-        for i in range(len(b) - 3):
-            x, y = (int(v[0]) for v in lm_scores.cells(np.array([int.from_bytes(b[i : i + 4], "big")], np.uint32)))
-            one = (after[b[i + 3]] + 1) / (total + 256)
-            pair = (two[b[i + 2], b[i + 3]] + lm_scores.BACK_2 * one) / (before[b[i + 2]] + lm_scores.BACK_2)
-            out -= math.log((four[x] + lm_scores.BACK_4 * pair) / (three[y] + lm_scores.BACK_4))
-        return out / (len(b) - 3)
-
-    some = small.orderBy(F.length("text")).limit(25)
-    pool = some.unionByName(some.limit(0))
-    got = {r["doc_id"]: r for r in lm_scores.score(pool, lm_scores.count(target.join(some.select("doc_id"), "doc_id", "left_semi")), lm_scores.count(some)).collect()}
-    docs = rows(some)
-    own, whole = counts([d for d in docs if d[0] % 3 == 0]), counts(docs)
-    for i, t in docs[:6]:
-        a, b = loss(t, own), loss(t, whole)
-        assert got[i]["n_tokens"] == len(t.encode()) + 1
-        assert abs(got[i]["target_loss"] - a) < 1e-3 and abs(got[i]["score"] - (b - a)) < 1e-3
-    edge = lm_scores.cross_entropy_difference(edges, edges.limit(0)).collect()
-    assert len(edge) == len(EDGES) and sorted(r["n_tokens"] for r in edge)[:2] == [1, 1]
-    assert lm_scores.cross_entropy_difference(edges.limit(0), edges).count() == 0
+    docs = small.select("doc_id", "text").unionByName(edges.select("doc_id", "text").filter("doc_id IS NULL OR doc_id < 5"))
+    target = F.col("doc_id") % 3 == 0
+    keyed = lm_scores.keyed(docs, target)
+    cut = lm_scores.cuts(keyed.select("is_target", "fold", "cell", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")))
+    held = [(r, r["cell"] < cut[r["fold"], r["is_target"]]) for r in keyed.collect()]
+    size = lambda f, t: sum(len((r["text"] or "").encode()) + 1 for r, used in held if used and (r["fold"], r["is_target"]) == (f, t))
+    for fold in (0, 1):
+        a, b = size(fold, True), size(fold, False)
+        assert a and b and abs(a - b) < max(len((r["text"] or "").encode()) for r, _ in held) + 2
+    five, four, two = ({(f, t): Counter() for f in (0, 1) for t in (False, True)} for _ in range(3))
+    for r, used in held:
+        if used:
+            b, k = b"\xff" * 4 + (r["text"] or "").encode() + b"\xff", (r["fold"], r["is_target"])
+            for i in range(len(b) - 4):
+                five[k][b[i : i + 5]] += 1
+                four[k][b[i : i + 4]] += 1
+                two[k][b[i + 3 : i + 5]] += 1
+
+    def loss(text, k):
+        before, after, out = Counter(), Counter(), 0.0
+        for pair, n in two[k].items():
+            before[pair[0]] += n
+            after[pair[1]] += n
+        b = b"\xff" * 4 + (text or "").encode() + b"\xff"
+        for i in range(len(b) - 4):
+            one = (after[b[i + 4]] + 1) / (sum(after.values()) + 256)
+            pair = (two[k][b[i + 3 : i + 5]] + 8 * one) / (before[b[i + 3]] + 8)
+            out -= math.log((five[k][b[i : i + 5]] + 4 * pair) / (four[k][b[i : i + 4]] + 4))
+        return out / (len(b) - 4)
+
+    got = sorted(lm_scores.cross_entropy_difference(docs, target, block=block).collect(), key=lambda r: (r["n_tokens"], repr(r["doc_id"])))
+    assert len(got) == docs.count()
+    fold = {(r["doc_id"], len((r["text"] or "").encode()) + 1): r for r, _ in held}
+    for r in got[:12]:
+        own = fold[r["doc_id"], r["n_tokens"]]
+        a, b = loss(own["text"], (1 - own["fold"], True)), loss(own["text"], (1 - own["fold"], False))
+        assert abs(r["target_loss"] - a) < 1e-6 and abs(r["background_loss"] - b) < 1e-6 and abs(r["score"] - (b - a)) < 1e-6
+
+
+def test_lm_scores_of_edges(spark, edges):
+    edge = lm_scores.cross_entropy_difference(edges, F.lit(False)).collect()
+    assert len(edge) == len(EDGES) and {r["score"] for r in edge} == {0.0} and sorted(r["n_tokens"] for r in edge)[:2] == [1, 1]
+    assert lm_scores.cross_entropy_difference(edges.limit(0), F.lit(True)).count() == 0
 
 
 # --- 10 personal data ----------------------------------------------------------------------------
@@ -471,21 +594,24 @@ TEXTS = [
     "4111 1111 1111 1111 4111-1111-1111-1112 1234",
     "+1 (376) 555-9077 +12 34 +1234567890123456 +49 (0) 30 123456",
     "@ @@ a@ @b.c " + "9" * 5000 + " " + "1." * 3000,
+    "ip " + "0" * 5000 + "1.2.3.4 x",
     "write to jane.doe (at) example (dot) org or call phone (030) 555-1234, iban DE89 3704 0044 0532 0130 00",
     "version 12.34.56 order 1234567890 on 2024-05-06, look at this. Then",
 ]
 
 
-def test_pii(spark, edges):
+def test_pii(spark, edges, small):
     docs = edges.select("doc_id", "text").unionByName(spark.createDataFrame([(300 + i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"))
     digits = lambda s: re.sub("[^0-9]", "", s)
     plain = (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))),
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m[0])) <= 15),
     )
-    found = pii.find(docs).collect()
+    judge = pii.train(small)
+    spans_found = pii.find(docs, judge)
+    found = pii.digest(spans_found).collect()
     assert len(found) == docs.count()
     texts = {i: t for i, t in rows(docs)}
     for r in found:
@@ -494,17 +620,34 @@ def test_pii(spark, edges):
         assert [r[f"n_{n}"] for n, _, _ in plain] == [sum(s[2] == n for s in spans) for n, _, _ in plain]
         assert set(f"{n}:{a}:{b}" for a, _, n, b in spans) <= set(r["spans"].split(",")) | {""}
     spans = {r["doc_id"]: r["spans"] for r in found}
-    assert {"contact", "number", "account"} <= set(re.findall(r"[a-z]+", spans[305])) and spans[306] == ""
-    assert pii.span_rows(pii.find(docs)).count() == sum(len(s.split(",")) for s in spans.values() if s)
-
-
-def test_trees_on_unseen_examples():
-    judge = pii.train(2000)
-    right = total = 0
-    for text, start, end, kind, yes in pii._examples(600, 77):
-        total += 1
-        right += (judge.probability(text, start, end, kind) >= 0.5) == bool(yes)
-    assert right >= 0.93 * total
+    assert {"contact", "account"} <= set(re.findall(r"[a-z]+", spans[306])) and spans[307] == ""
+    plain_redacted = {r["doc_id"]: r["text"] for r in pii.with_redactions(docs, judge).collect()}
+    assert plain_redacted[1] is None and plain_redacted[307] == TEXTS[7] and plain_redacted[301].startswith("[IP] 300.1") is False
+    assert plain_redacted[306].startswith("write to [CONTACT] or call") and plain_redacted[306].endswith("iban [ACCOUNT]")
+    for r in spans_found.collect():
+        made = [(s["start"], pii.KINDS.index(s["kind"]), s["end"]) for s in r["spans"]]
+        if r["doc_id"] != 4:
+            assert pii.redacted(texts[r["doc_id"]], made) == (plain_redacted[r["doc_id"]] or "")
+    assert pii.find(docs.limit(0), judge).count() == pii.with_redactions(docs.limit(0), judge).count() == 0
+
+
+def test_merging_equals_all_comparisons():
+    rng = random.Random(11)
+    for _ in range(300):
+        own = [(a, 0, a + rng.randint(1, 6)) for a in rng.sample(range(60), 6)]
+        proposed = sorted((a, a + rng.randint(1, 8), "number") for a in rng.choices(range(60), k=8))
+        assert pii.apart(proposed, own) == [c for c in proposed if not any(a < c[1] and c[0] < b for a, _, b in own)]
+
+
+def test_added_spans_are_precise_on_unseen_examples(spark, small):
+    """The trees know neither these examples nor what of them is personal."""
+    judge = pii.train(small)
+    assert all(0 < t < 1 for t in judge.thresholds.values())
+    right = wrong = missed = 0
+    for text, start, end, kind, yes in pii._examples(3000, 77):
+        added = [s for s in pii.spans_of(text, judge) if pii.KINDS[s[1]] in pii.ADDED and s[0] < end and start < s[2]]
+        right, wrong, missed = right + (bool(added) and yes), wrong + (bool(added) and not yes), missed + (yes and not pii.spans_of(text, judge))
+    assert right >= 0.97 * (right + wrong) and right >= 5 * missed
 
 
 # --- pipeline ------------------------------------------------------------------------------------
@@ -539,3 +682,18 @@ def test_pipeline(spark):
         assert ("[SECRET]" in t) == (t != stage3[i]) and not any(ok(m) for _, p, ok in PLAIN[1:] for m in p.finditer(t))
     packed = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in packed} == set(stage3)
+
+
+@pytest.mark.parametrize("kept", [len(EDGES), 0])
+def test_pipeline_of_edges_and_of_nothing(spark, tmp_path, kept):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(EDGES[:kept], DOCS).withColumnRenamed("part", "n_chars").withColumn("blob", F.lit("b"))
+    bench = spark.createDataFrame([(1, "an item that no text has in it at all")][: max(kept, 0) and 1], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1), (None, None, None)][: 3 if kept else 0], "doc_id long, quality int, toxic int")
+    for name, table in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in packed}
+    # The three texts without words are copies of each other, and so are the two of document 4.
+    assert ids == ({1, 4, 5, 6, None} if kept else set())
