@@ -25,24 +25,39 @@ def content_form(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"\s+", "")
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words and CJK characters, then the bigrams of CJK characters that follow each other.
 
-    Only a word between two CJK characters parts them; signs and spaces do not. Null gives an empty list.
+    Only a word between two CJK characters parts them; signs and spaces do not. Null gives an empty
+    list. Texts without a CJK character, whose list is plain, skip the search for bigrams.
     """
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit("[a-z0-9_]+|[一-鿿]"), F.lit(0))
 
     def paired(m: Column) -> Column:
         at = F.when(F.size(m) > 1, F.sequence(F.lit(1), F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
         both = F.filter(at, lambda i: m[i].rlike(CJK) & m[i - 1].rlike(CJK))
-        return F.concat(F.transform(m, F.lower), F.transform(both, lambda i: F.concat(m[i - 1], m[i])))
+        return F.concat(m, F.transform(both, lambda i: F.concat(m[i - 1], m[i])))
 
-    return F.transform(F.array(found), paired)[0]
+    return F.when(text.rlike("[一-鿿]"), F.transform(F.array(found), paired)[0]).otherwise(found)
 
 
 def coarse_tokens(text: Column) -> Column:
     """``tokens`` without the two-character CJK bigrams."""
-    return F.filter(tokens(text), lambda t: ~t.rlike("^[一-鿿]{2}$"))
+    return F.when(text.rlike("[一-鿿]"), F.filter(tokens(text), lambda t: ~t.rlike("^[一-鿿]{2}$"))).otherwise(tokens(text))
+
+
+def sum_of_squares(items: Column) -> Column:
+    """The sum of the squared counts of an array's members, by one walk over it in order."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
+
+    def step(a: Column, t: Column) -> Column:
+        run = F.when(a["last"] == t, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(t.alias("last"), run.alias("run"), (a["total"] + 2 * run - 1).alias("total"))
+
+    return F.aggregate(F.array_sort(items), start, step, lambda a: a["total"])
 
 
 def grams(text: Column, low: int, high: int) -> Column:

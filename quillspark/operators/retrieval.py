@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import Scratch
 
 #: Sides of joins up to this many rows are broadcast after being counted; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
@@ -28,20 +29,29 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str, tokens=X.tokens,
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(found) if distinct else found).alias("token"))
 
 
+#: The token that every document has once in its postings, so that corpus statistics need no pass of their own.
+EVERY = ""
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, tokens=X.tokens, distinct_length: bool = True) -> tuple[DataFrame, DataFrame]:
     """``doc_id, token, tf, dl`` of the asked terms, and one row of corpus statistics ``n, avgdl``.
 
-    Lengths are taken within each row, and only tokens that some query asks for are exploded, so the
-    shuffle grows with the matches and not with the corpus. The length of a document is its number of
-    distinct tokens, unless ``distinct_length`` is false; the mean is over documents with tokens.
+    Documents are read and tokenised once: lengths are taken within the row, a row under ``EVERY``
+    stands for the document itself, and what some query asks for is written to the shared folder, so
+    shuffles and files grow with the matches. The length of a document is its number of distinct
+    tokens, unless ``distinct_length`` is false; the mean is over documents with tokens.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
     length = F.size(F.array_distinct("tokens")) if distinct_length else F.size("tokens")
-    rows = rows.withColumn("dl", length)
-    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.when(F.col("dl") > 0, F.col("dl"))), F.lit(1.0)).alias("avgdl"))
-    asked = small(terms.select("token").distinct())
-    found = rows.select("doc_id", "dl", F.explode("tokens").alias("token")).join(asked, "token")
-    return found.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf")), stats
+    # What is taken of the whole list comes first: beside an explode it would be taken again for each token.
+    each = rows.select("doc_id", "tokens", length.alias("dl")).select("doc_id", "dl", F.explode(F.concat("tokens", F.array(F.lit(EVERY)))).alias("token"))
+    every = docs.sparkSession.range(1).select(F.lit(EVERY).alias("token"))
+    asked = small(terms.select("token").distinct().unionByName(every))
+    held = each.join(asked, "token").groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf"))
+    found = Scratch(docs.sparkSession, "postings").keep(held, "asked")
+    whole = found.filter(F.col("token") == EVERY)
+    stats = whole.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("dl") > 0, F.col("dl") * F.col("tf"))) / F.sum(F.when(F.col("dl") > 0, F.col("tf"))), F.lit(1.0)).alias("avgdl"))
+    return found.filter(F.col("token") != EVERY), stats
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, query_id: str = "item_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", tokens=X.tokens, distinct_length: bool = True, distinct_terms: bool = True) -> DataFrame:
@@ -49,24 +59,27 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75,
     terms = query_terms(queries, query_id, query_text, tokens, distinct_terms)
     hits, stats = postings(docs, doc_id, doc_text, terms, tokens, distinct_length)
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = hits.join(df, "token").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weighted.select("token", "doc_id", part.alias("part")).join(small(terms), "token")
+    # Terms, at most as many as the queries have, take their weight along; hits are scored as they are met.
+    weighted = terms.join(df.crossJoin(F.broadcast(stats)), "token").select("query_id", "token", idf.alias("idf"), "avgdl")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(small(weighted), "token").select("query_id", "doc_id", part.alias("part"))
     return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
 
 
 def tf_cosine(queries: DataFrame, docs: DataFrame, query_id: str = "item_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
-    """``query_id, doc_id, score``: cosine of coarse term counts, four decimals, positive ones only."""
-    own = queries.select(F.col(query_id).alias("query_id"), F.explode(X.coarse_tokens(F.col(query_text))).alias("token"))
-    q = own.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qn"))
+    """``query_id, doc_id, score``: cosine of coarse term counts, four decimals, positive ones only.
+
+    Norms are taken within the row; an occurrence of an asked term adds that term's count in the query
+    to the dot product, so nothing is shuffled but partial sums.
+    """
+    own = queries.select(F.col(query_id).alias("query_id"), X.coarse_tokens(F.col(query_text)).alias("tokens"))
+    own = own.select("query_id", "tokens", F.sqrt(X.sum_of_squares(F.col("tokens"))).alias("qn")).select("query_id", "qn", F.explode("tokens").alias("token"))
+    q = own.groupBy("query_id", "qn", "token").agg(F.count("*").alias("qtf"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), X.coarse_tokens(F.col(doc_text)).alias("tokens"))
-    tf = rows.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    dn = tf.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    dots = tf.join(small(q), "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    scored = dots.join(small(qn), "query_id").join(dn, "doc_id")
-    return scored.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 4).alias("score")).filter("score > 0")
+    each = rows.select("doc_id", "tokens", F.sqrt(X.sum_of_squares(F.col("tokens"))).alias("dn")).select("doc_id", "dn", F.explode("tokens").alias("token"))
+    dots = each.join(small(q), "token").groupBy("query_id", "doc_id", "qn", "dn").agg(F.sum("qtf").alias("dot"))
+    return dots.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 4).alias("score")).filter("score > 0")
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, measure=X.cosine, block: int = 2048) -> DataFrame:
@@ -75,10 +88,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, measure=X.cosine, block:
     Both sides have ``vec_id, embedding``. Queries are compared in blocks of a bounded number, each
     broadcast against all vectors; ``rank`` breaks ties by id.
     """
-    blocks = max(1, -(-queries.count() // block))
     out = None
-    for i in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    for part in in_blocks(queries, "vec_id", block) or [queries]:
+        own = part.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
         scored = vectors.select("vec_id", "embedding").join(F.broadcast(own), F.col("vec_id") != F.col("query_id"))
         scored = scored.select("query_id", "vec_id", F.round(measure(F.col("q"), F.col("embedding")), 4).alias("score"))
         part = top(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
@@ -163,6 +175,35 @@ def rerank_scores(hits: DataFrame, queries: DataFrame, docs: DataFrame, section_
     return joined.select("query_id", "doc_id", F.round(score, 4).alias("rerank_score"))
 
 
+def holders(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
+    """``query_id, doc_id``: the documents that hold an item's whole text.
+
+    A text that holds the item holds three words of its inside, too, which are the key of an equality
+    join whose candidates are verified. Items of fewer than five words have no such key; they are
+    compared with every document, a block of them at a time.
+    """
+
+    def shingles(words: Column) -> Column:
+        at = F.when(F.size(words) < 3, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(words) - 3))
+        return F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", words[i], words[i + 1], words[i + 2])))
+
+    own = items.select(F.col(item_id).alias("query_id"), F.col(item_text).alias("q"), F.split(item_text, " ").alias("w")).filter("q IS NOT NULL")
+    keyed = own.filter(F.size("w") >= 5).select("query_id", "q", F.concat_ws(" ", F.col("w")[1], F.col("w")[2], F.col("w")[3]).alias("key"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
+    # The words are held by a one-member array, or each window would split the text anew.
+    windows = F.transform(F.array(F.split("text", " ")), shingles)[0]
+    found = texts.withColumn("key", F.explode(windows)).join(small(keyed), "key").filter(F.col("text").contains(F.col("q"))).select("query_id", "doc_id")
+    for block in in_blocks(own.filter(F.size("w") < 5).select("query_id", "q"), "query_id"):
+        found = found.unionByName(texts.join(F.broadcast(block), F.col("text").contains(F.col("q"))).select("query_id", "doc_id"))
+    return found.distinct()
+
+
+def in_blocks(df: DataFrame, key: str, rows: int = 2048) -> list[DataFrame]:
+    """``df`` in as many parts, by a hash of ``key``, as have some ``rows`` rows each; none for no rows."""
+    blocks = -(-df.count() // rows)
+    return [df.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) for i in range(blocks)]
+
+
 def plain_tokens(text: Column) -> Column:
     """Latin words, CJK characters, and bigrams of all CJK characters whatever lies between them."""
 
@@ -177,10 +218,18 @@ def plain_tokens(text: Column) -> Column:
 def overlap_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, section: str = "section") -> DataFrame:
     """``query_id, doc_id, score, rank`` by shared tokens: 0.55 and 0.25 for each in the content, 0.20 for each in the section.
 
-    Every chunk has a score, so all chunks are compared; the queries are a set of checked size.
+    Chunks that share a token are found by an equality join on tokens. The others all have 0.55 and
+    rank by id, so of them the ``k`` with the smallest ids that share none are enough for any query:
+    each query takes them from its hits plus ``k`` more of the smallest ids.
     """
-    asked = small(queries.select(F.col("item_id").alias("query_id"), plain_tokens(F.col("text")).alias("q")))
-    own = chunks.select("doc_id", plain_tokens(F.col("text")).alias("c"), plain_tokens(F.col(section)).alias("s"))
-    shared = lambda c: F.size(F.array_intersect("q", c))
-    scored = own.join(asked).select("query_id", "doc_id", F.round(0.55 + 0.25 * shared("c") + 0.20 * shared("s"), 4).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    asked = queries.select(F.col("item_id").alias("query_id"), F.explode(plain_tokens(F.col("text"))).alias("token"))
+    each = lambda name, part: chunks.select("doc_id", F.explode(plain_tokens(F.col(name))).alias("token"), F.lit(part).alias("part"))
+    parts = each("text", 25).unionByName(each(section, 20))
+    shared = parts.join(small(asked), "token").groupBy("query_id", "doc_id").agg(F.sum("part").alias("n"))
+    scored = shared.select("query_id", "doc_id", F.round(0.55 + F.col("n") / 100, 4).alias("score"))
+    best = top(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    # A query with k hits or more shows no other chunk; one with fewer leaves out at most k - 1 ids of these.
+    first = chunks.select("doc_id").orderBy("doc_id").limit(2 * k)
+    rest = queries.select(F.col("item_id").alias("query_id")).crossJoin(F.broadcast(first)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    both = best.select("query_id", "doc_id", "score").unionByName(rest.withColumn("score", F.lit(0.55)))
+    return top(both.dropDuplicates(["query_id", "doc_id"]), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)

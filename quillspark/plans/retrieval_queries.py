@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import chunking, classify, evaluation, pipeline, retrieval
 from ..sources import readers, sinks
 from ..sources.readers import table
+from ..session import Scratch
 from .registry import query
 
 # --- SQL building blocks -------------------------------------------------------------------------
@@ -348,9 +349,9 @@ def upload_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold an item's text; the items are a query set of checked size."""
-    items = retrieval.small(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")))
-    return table(spark, sf, "documents").select("doc_id", "lang", "text").join(items, F.col("text").contains(F.col("q"))).select("query_id", "doc_id", "lang")
+    """Documents that hold an item's text, with their language; written once, as several metrics use them."""
+    docs = table(spark, sf, "documents")
+    return Scratch(spark, "labels").keep(retrieval.holders(table(spark, sf, "benchmark"), docs).join(docs.select("doc_id", "lang"), "doc_id").select("query_id", "doc_id", "lang"), "held")
 
 
 def _metrics(spark: SparkSession, sf: str, ranked: DataFrame, labels: DataFrame) -> DataFrame:
