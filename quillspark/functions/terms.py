@@ -30,6 +30,38 @@ GENERIC_PATTERNS = {
     "technical": ("崩溃", "报错", "error", "crash"),
     "account": ("密码", "邮箱", "账户", "password"),
 }
+# The eight lists of the rule that scores by shares of a list.
+SHARE_PATTERNS = {
+    "escalation": ("投诉", "经理", "转人工", "supervisor"),
+    "complaint": ("太差", "糟糕", "horrible", "等了很久"),
+    "query": ("?", "？", "怎么", "什么", "status"),
+    "request": ("帮我", "需要", "please", "help"),
+    "greeting": ("你好", "嗨", "hello", "hi"),
+    "billing": ("退款", "扣款", "发票", "refund"),
+    "technical": ("崩溃", "报错", "error", "crash", "500", "401"),
+    "account": ("密码", "邮箱", "账户", "password"),
+}
+# Example messages of each intent.
+TEMPLATES = {
+    "query": ("我的订单状态是什么？", "如何重置密码？", "快递什么时候到？"),
+    "complaint": ("等了好几个小时！", "服务太差了！", "一直没人处理！"),
+    "request": ("帮我取消订单", "我需要修改地址", "请协助退款"),
+    "greeting": ("你好", "嗨，有人吗", "早上好"),
+    "escalation": ("我要投诉！", "转人工客服", "找你们经理"),
+    "technical": ("应用一直崩溃", "无法登录", "出现500错误"),
+    "billing": ("为什么扣了两次款？", "申请退款", "发票问题"),
+    "account": ("修改邮箱", "注销账户", "更新个人信息"),
+    "feedback": ("服务很棒！", "非常满意", "给个好评"),
+    "order_status": ("我的订单现在是什么状态？", "订单有没有发货？", "订单处理到哪一步了？"),
+    "logistics": ("快递什么时候到？", "物流一直不更新", "配送要多久？"),
+    "refund": ("我要申请退款", "退货退款怎么处理？", "退款多久到账？"),
+    "invoice": ("帮我开发票", "发票抬头怎么改？", "电子发票在哪里？"),
+    "payment_issue": ("为什么重复扣款？", "支付失败怎么办？", "这个月多扣了钱"),
+    "account_security": ("账户被盗了", "发现异常登录", "我要重置密码"),
+    "technical_login": ("登录一直报401", "验证码收不到", "无法登录账号"),
+    "technical_crash": ("应用一直崩溃", "页面报500错误", "系统闪退"),
+    "human_handoff": ("转人工客服", "我要找人工", "请升级处理"),
+}
 GENERIC_INTENTS = ("query", "billing", "technical", "account", "escalation")
 INTENT_GROUPS = {
     "order_status": "query",

@@ -74,6 +74,12 @@ def grams(text: Column, low: int, high: int) -> Column:
     return F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), all_of)[0]
 
 
+def distinct_grams(text: Column) -> Column:
+    """The distinct 1- to 3-grams of the trimmed lower-case text; an empty text has the empty gram alone."""
+    found = F.array_distinct(grams(strip(F.lower(F.coalesce(text, F.lit("")))), 1, 3))
+    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+
+
 def word_grams(text: Column) -> Column:
     """Words of punctuation-free lower-case text, then its trimmed 2- and 3-character grams, none empty."""
     plain = strip(F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~\s]+", " "))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as K
 from ..functions import text as X
+from .retrieval import small
 
 
 def _best(text: Column, patterns: dict[str, tuple[str, ...]]) -> Column:
@@ -28,9 +29,9 @@ def pattern_intent(message: Column) -> Column:
 
 
 def share_intent(message: Column) -> Column:
-    """The other rule: hits over the length of the list, all lists together."""
+    """The other rule: hits over the length of the list, all lists together; of equal shares the first list wins."""
     text = F.lower(message)
-    lists = {**K.SPECIFIC_PATTERNS, **{k: v for k, v in K.GENERIC_PATTERNS.items() if k not in K.SPECIFIC_PATTERNS}}
+    lists = K.SHARE_PATTERNS
     scored = F.array(*[F.struct(F.lit(k).alias("intent"), (X.hits(text, w) / len(w)).alias("score")) for k, w in lists.items()])
     return F.aggregate(scored, F.struct(F.lit("other").alias("intent"), F.lit(0.0).alias("score")), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
 
@@ -156,11 +157,23 @@ def rewrites(queries: DataFrame, rules: dict[str, tuple[str, ...]] = K.REWRITES,
 
 def hashed_cells(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys, cell, weight``: the cells, not zero, of the 256-wide vector of signed hashed distinct 1- to 3-grams."""
-    grams = F.array_distinct(X.grams(X.strip(F.lower(F.col(text))), 1, 3))
+    grams = X.distinct_grams(F.col(text))
     each = rows.select(*keys, F.explode(grams).alias("g"))
     return each.groupBy(*keys, X.md5_cell(F.col("g")).alias("cell")).agg(F.sum(X.md5_sign(F.col("g"))).alias("weight")).filter("weight <> 0")
 
 
+def learnt(templates: DataFrame, corrections: DataFrame) -> DataFrame:
+    """``intent, ord, text``: the templates with corrected messages put in, each new text of an intent once.
+
+    ``corrections``: seq, intent, text. What an intent has already is not put in again; new texts come
+    after all templates, in the order of ``seq``.
+    """
+    new = corrections.groupBy("intent", "text").agg(F.min("seq").alias("seq")).join(templates.select("intent", "text"), ["intent", "text"], "left_anti")
+    last = templates.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
+    placed = new.crossJoin(F.broadcast(last)).select("intent", (F.col("last") + 1 + F.col("seq")).cast("int").alias("ord"), "text")
+    return templates.select("intent", "ord", "text").unionByName(placed)
+
+
 def template_nearest(messages: DataFrame, templates: DataFrame) -> DataFrame:
     """Nearest template category by cosine of hashed gram vectors: ``id, intent, confidence``.
 
@@ -170,8 +183,8 @@ def template_nearest(messages: DataFrame, templates: DataFrame) -> DataFrame:
     m = hashed_cells(messages, ["id"], "text")
     t = hashed_cells(templates, ["intent", "ord"], "text")
     norm = lambda df, keys: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = m.withColumnRenamed("weight", "w").join(F.broadcast(t), "cell").groupBy("id", "intent", "ord").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    norms = F.broadcast(norm(t, ["intent", "ord"]).withColumnRenamed("norm", "tnorm"))
+    dots = m.withColumnRenamed("weight", "w").join(small(t), "cell").groupBy("id", "intent", "ord").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    norms = small(norm(t, ["intent", "ord"]).withColumnRenamed("norm", "tnorm"))
     scored = dots.join(norm(m, ["id"]), "id").join(norms, ["intent", "ord"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6))
     best = scored.filter("score > 0").groupBy("id").agg(F.min_by(F.struct("intent", "score"), F.struct((-F.col("score")).alias("s"), "ord")).alias("b"))
     return messages.select("id").join(best, "id", "left").select("id", F.coalesce("b.intent", F.lit("other")).alias("intent"), F.coalesce("b.score", F.lit(0.0)).alias("confidence"))

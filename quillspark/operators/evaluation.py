@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .retrieval import small
 
 METRICS = ("recall_at_5", "recall_at_10", "precision_at_3", "mrr_at_10", "ndcg_at_10", "duplicate_top3", "no_answer_false_positive")
 
@@ -78,7 +79,7 @@ def paired_delta(ours: DataFrame, theirs: DataFrame, metric: str) -> DataFrame:
 
 
 def bootstrap(deltas: DataFrame, rounds: int = 2000, seed: int = 20260808) -> DataFrame:
-    """Mean delta with a 95 % interval from resampled clusters.
+    """Mean delta with a 95 % interval from resampled clusters; all zero where there are fewer than two rows.
 
     Draw ``i`` of round ``r`` is a fixed mixing of (seed, r, i), so every engine draws the same. Only
     clusters' sums take part, so the work is rounds times clusters.
@@ -88,12 +89,15 @@ def bootstrap(deltas: DataFrame, rounds: int = 2000, seed: int = 20260808) -> Da
     total = clusters.agg(F.count("*").alias("k"), F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
     draws = deltas.sparkSession.range(rounds).withColumnRenamed("id", "r").crossJoin(F.broadcast(total)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     mixed = F.pmod((F.col("r") * F.col("k") + F.col("i") + seed) * 48271 % 2147483647 * 48271 % 2147483647, F.col("k"))
-    sampled = draws.withColumn("c", mixed).join(F.broadcast(numbered), "c")
+    sampled = draws.withColumn("c", mixed).join(small(numbered), "c")
     means = sampled.groupBy("r").agg(F.round(F.sum("s") / F.sum("n"), 9).alias("m"))
     ranked = means.withColumn("p", F.row_number().over(Window.orderBy("m", "r")) - 1)
     low, high = max(0, int(0.025 * rounds) - 1), int(0.975 * rounds) - 1
     ends = ranked.agg(F.round(F.max(F.when(F.col("p") == low, F.col("m"))), 6).alias("ci_low"), F.round(F.max(F.when(F.col("p") == high, F.col("m"))), 6).alias("ci_high"))
-    return total.select(F.round(F.col("s_all") / F.col("n_all"), 6).alias("mean_delta"), F.col("k").alias("clusters")).crossJoin(ends)
+    few = F.coalesce(F.col("n_all"), F.lit(0)) < 2
+    zero = lambda c: F.when(few, 0.0).otherwise(c)
+    mean = zero(F.round(F.col("s_all") / F.col("n_all"), 6)).alias("mean_delta")
+    return total.crossJoin(ends).select(mean, F.col("k").alias("clusters"), zero(F.col("ci_low")).alias("ci_low"), zero(F.col("ci_high")).alias("ci_high"))
 
 
 def acceptance(ours: DataFrame, theirs: DataFrame, interval: DataFrame, p95_ours: float, p95_theirs: float) -> DataFrame:

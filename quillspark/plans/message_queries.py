@@ -69,10 +69,19 @@ def pattern_intent(spark: SparkSession, sf: str) -> DataFrame:
     return patterned(spark, sf).select("id", "intent", "confidence")
 
 
-_SHARE = {**K.SPECIFIC_PATTERNS, **{k: v for k, v in K.GENERIC_PATTERNS.items() if k not in K.SPECIFIC_PATTERNS}}
-
-
-@query(f"WITH {MSG}, h AS (SELECT id, [{', '.join(f'{_hits(w)} / {len(w)}' for w in _SHARE.values())}] AS s FROM msg) SELECT id, CASE WHEN list_max(s) > 0 THEN {_names(_SHARE)}[list_position(s, list_max(s))] ELSE 'other' END AS intent, round(list_max(s), 6) AS score FROM h")
+#: Written out apart from the lists that the operator uses.
+SHARE = """[(contains(t, '投诉')::INT + contains(t, '经理')::INT + contains(t, '转人工')::INT + contains(t, 'supervisor')::INT) / 4,
+    (contains(t, '太差')::INT + contains(t, '糟糕')::INT + contains(t, 'horrible')::INT + contains(t, '等了很久')::INT) / 4,
+    (contains(t, '?')::INT + contains(t, '？')::INT + contains(t, '怎么')::INT + contains(t, '什么')::INT + contains(t, 'status')::INT) / 5,
+    (contains(t, '帮我')::INT + contains(t, '需要')::INT + contains(t, 'please')::INT + contains(t, 'help')::INT) / 4,
+    (contains(t, '你好')::INT + contains(t, '嗨')::INT + contains(t, 'hello')::INT + contains(t, 'hi')::INT) / 4,
+    (contains(t, '退款')::INT + contains(t, '扣款')::INT + contains(t, '发票')::INT + contains(t, 'refund')::INT) / 4,
+    (contains(t, '崩溃')::INT + contains(t, '报错')::INT + contains(t, 'error')::INT + contains(t, 'crash')::INT + contains(t, '500')::INT + contains(t, '401')::INT) / 6,
+    (contains(t, '密码')::INT + contains(t, '邮箱')::INT + contains(t, '账户')::INT + contains(t, 'password')::INT) / 4]"""
+
+
+@query(f"""WITH {MSG}, h AS (SELECT id, {SHARE} AS s FROM (SELECT id, lower(text) AS t FROM msg))
+    SELECT id, CASE WHEN list_max(s) > 0 THEN ['escalation', 'complaint', 'query', 'request', 'greeting', 'billing', 'technical', 'account'][list_position(s, list_max(s))] ELSE 'other' END AS intent, round(list_max(s), 6) AS score FROM h""")
 def share_intent(spark: SparkSession, sf: str) -> DataFrame:
     rows = messages(spark, sf).withColumn("s", classify.share_intent(F.col("text")))
     return rows.select("id", F.col("s.intent").alias("intent"), F.round("s.score", 6).alias("score"))
@@ -114,10 +123,10 @@ def error_codes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.array_join(F.col("e")["error_code"], ",").alias("error_code"), F.array_join(F.col("s")["error_code"], ",").alias("plain_code"))
 
 
-TEMPLATES = (("refund", 0, "我要申请退款"), ("logistics", 1, "快递什么时候到？"), ("technical_crash", 2, "应用一直崩溃"), ("greeting", 3, "hello, is anyone there"), ("query", 4, "what is the status of the order"), ("request", 5, "please help me with the text"))
+TEMPLATES = tuple((intent, 3 * i + j, text) for i, (intent, texts) in enumerate(K.TEMPLATES.items()) for j, text in enumerate(texts))
 
 
-_CELLS = "{0} AS (SELECT {1}, ('0x' || substr(md5(g), 7, 2))::INT AS cell, sum(CASE WHEN ('0x' || substr(md5(g), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS w FROM (SELECT {1}, unnest(list_distinct(list_concat(c, list_concat(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))))) AS g FROM (SELECT {1}, string_split(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '') AS c FROM {2})) WHERE g <> '' GROUP BY ALL HAVING w <> 0)"
+_CELLS = "{0} AS (SELECT {1}, ('0x' || substr(md5(g), 7, 2))::INT AS cell, sum(CASE WHEN ('0x' || substr(md5(g), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS w FROM (SELECT {1}, unnest(list_distinct(list_concat(c, list_concat(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))))) AS g FROM (SELECT {1}, string_split(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '') AS c FROM {2})) GROUP BY ALL HAVING w <> 0)"
 
 
 @query(
@@ -132,17 +141,22 @@ def template_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return classify.template_nearest(messages(spark, sf), rows)
 
 
+_ALL_GRAMS = "list_distinct(list_concat(list_concat(list_transform(range(1, len(s) + 1), lambda i: substr(s, i, 1)), list_transform(range(1, len(s)), lambda i: substr(s, i, 2))), list_transform(range(1, len(s) - 1), lambda i: substr(s, i, 3))))"
+
+
 @query(
-    f"""WITH {MSG}, g AS (SELECT id, list_distinct(list_transform(range(1, len(text) - 1), lambda i: lower(substr(text, i, 3)))) AS g FROM msg),
-    t(k, tg) AS (SELECT * FROM (VALUES {', '.join(f"('{k}', list_distinct(list_transform(range(1, {max(0, len(t) - 1)}), lambda i: lower(substr({_quoted(t)}, i, 3)))))" for k, _, t in TEMPLATES)}))
-    SELECT id, k AS template, round(coalesce(len(list_intersect(g, tg)) / nullif(len(list_distinct(list_concat(g, tg))), 0), 0), 6) AS score FROM g, t"""
+    f"""WITH {MSG}, g AS (SELECT id, {_ALL_GRAMS} AS g FROM (SELECT id, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS s FROM msg)),
+    tpl(template, ord, text) AS (VALUES {', '.join(f"('{k}', {o}, {_quoted(t)})" for k, o, t in TEMPLATES)}),
+    t AS (SELECT template, ord, {_ALL_GRAMS} AS tg FROM (SELECT template, ord, lower(text) AS s FROM tpl)),
+    j AS (SELECT id, template, ord, coalesce(len(list_intersect(g, tg)) / nullif(len(list_distinct(list_concat(g, tg))), 0), 0) AS score FROM g, t)
+    SELECT id, template, round(max(score), 6) AS score FROM j GROUP BY id, template"""
 )
 def jaccard_intent(spark: SparkSession, sf: str) -> DataFrame:
-    """Jaccard similarity of character trigrams with each template of a fixed small table."""
-    own = lambda c: F.array_distinct(X.grams(F.lower(c), 3, 3))
+    """Jaccard similarity of 1- to 3-grams with the best template of each intent of a fixed small table."""
+    own = lambda c: F.array_distinct(X.grams(X.strip(F.lower(c)), 1, 3))
     t = spark.createDataFrame([(k, x) for k, _, x in TEMPLATES], "template string, t string").select("template", own(F.col("t")).alias("tg"))
     rows = messages(spark, sf).select("id", own(F.col("text")).alias("g")).join(F.broadcast(t))
-    return rows.select("id", "template", F.round(X.jaccard(F.col("g"), F.col("tg")), 6).alias("score"))
+    return rows.groupBy("id", "template").agg(F.round(F.max(X.jaccard(F.col("g"), F.col("tg"))), 6).alias("score"))
 
 
 _W = "list_sum([CASE WHEN {0} = mi THEN mc * 0.7 ELSE 0 END, CASE WHEN {0} = ei THEN ec * 0.2 ELSE 0 END, CASE WHEN {0} = intent THEN confidence * 0.1 ELSE 0 END])"
@@ -307,12 +321,18 @@ def running_summary(spark: SparkSession, sf: str) -> DataFrame:
     return memory.running_summary(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "text")
 
 
-@query("SELECT conv_id, CASE WHEN len(t[1]) > 0 THEN '[summary]' || chr(10) || substr(t[1], 1, 50) END AS head, len(t)::INT AS n FROM (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)")
+@query(
+    """WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS d FROM conversations),
+    a AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN left(text, 50) END) AS s, string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (d <= 3) AS h, count(*) AS n FROM m GROUP BY conv_id)
+    SELECT conv_id, n::INT AS n, md5(CASE WHEN coalesce(s, '') <> '' THEN '[summary]' || chr(10) || s || chr(10) || chr(10) ELSE '' END || '[history]' || chr(10) || h || chr(10) || chr(10) || '[profile]' || chr(10) || 'turns=' || n) AS digest FROM a"""
+)
 def history_tail(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompt heads from the first message of each conversation."""
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.count("*").cast("int").alias("n"))
-    head = memory.prompt_text(F.substring("first", 1, 50), F.array().cast("array<string>"), F.lit(None).cast("string"))
-    return rows.select("conv_id", F.nullif(head, F.lit("")).alias("head"), "n")
+    """Prompt parts of each conversation: the front of its first turn, its last three messages, a profile."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    last = memory.recent(turns, ["conv_id"], ["turn"], 3).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line")))).alias("lines"))
+    whole = turns.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 50))).alias("summary"), F.count("*").cast("int").alias("n"))
+    text = memory.prompt_text(F.col("summary"), F.transform("lines", lambda s: s["line"]), F.concat(F.lit("turns="), F.col("n").cast("string")))
+    return whole.join(last, "conv_id").select("conv_id", "n", F.md5(text).alias("digest"))
 
 
 @query()

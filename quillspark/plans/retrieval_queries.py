@@ -153,13 +153,12 @@ _CHARS = r"SELECT conv_id, turn, string_split(regexp_replace(lower(text), '^\s+|
 
 
 @query(
-    f"""WITH c AS ({_CHARS}), g AS (SELECT conv_id, turn, unnest(list_distinct({_gram_sql('')})) AS g FROM c)
+    f"""WITH c AS ({_CHARS}), g AS (SELECT conv_id, turn, unnest(CASE WHEN len(array_to_string(c, '')) = 0 THEN [''] ELSE list_distinct({_gram_sql('')}) END) AS g FROM c)
     SELECT conv_id, turn, ('0x' || substr(md5(g), 7, 2))::INT AS cell, sum(CASE WHEN ('0x' || substr(md5(g), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS weight FROM g GROUP BY ALL HAVING weight <> 0"""
 )
 def hash_ngram_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """Signed hashed 1- to 3-grams, as the cells that are not zero."""
-    grams = F.array_distinct(X.grams(X.strip(F.lower(F.col("text"))), 1, 3))
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(grams).alias("g"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(X.distinct_grams(F.col("text"))).alias("g"))
     return rows.groupBy("conv_id", "turn", X.md5_cell(F.col("g")).alias("cell")).agg(F.sum(X.md5_sign(F.col("g"))).alias("weight")).filter("weight <> 0")
 
 
@@ -328,11 +327,12 @@ def source_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.source_id(title, F.col("text")).alias("source_id"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version, n_chars FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version, n_chars FROM documents")
 def upsert_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    old = docs.filter("doc_id % 2 = 0").withColumns({"version": F.lit("old"), "n": F.lit(0)})
-    new = docs.filter("doc_id % 3 = 0")
+    """All documents as they were, and those in English twice anew; the later of the two stays."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    old = docs.withColumns({"version": F.lit("old"), "n": F.lit(0)})
+    new = docs.filter("lang = 'en'")
     twice = new.withColumns({"version": F.lit("stale"), "n": F.lit(1)}).unionByName(new.withColumns({"version": F.lit("new"), "n": F.lit(2)}))
     return sinks.upserted(old, twice, "doc_id", "n").select("doc_id", "version", "n_chars")
 

@@ -18,17 +18,31 @@ def upserted(existing: DataFrame, incoming: DataFrame, key: str, order: str) ->
 def write_upsert(incoming: DataFrame, path: str, key: str, order: str) -> int:
     """Upsert into the Parquet table at ``path``; returns the number of incoming rows.
 
-    The new table is written beside the old one, in full, before it takes its place.
+    The new table is written in full into a folder beside the old one; then the folders are renamed.
+    A run that breaks off leaves the old table, in its place or, between the two renames, as
+    ``path.old``, from where the next run puts it back.
     """
     from pyspark.errors import AnalysisException
 
     spark = incoming.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    now, new, old = (jvm.Path(path.rstrip("/") + end) for end in ("", ".new", ".old"))
+    files = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(old) and not files.exists(now):
+        files.rename(old, now)
     try:
         existing = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         existing = spark.createDataFrame([], incoming.schema)
-    staged = Scratch(spark, "upsert").keep(upserted(existing, incoming, key, order), "table")
-    staged.write.mode("overwrite").parquet(path)
+    upserted(existing, incoming, key, order).write.mode("overwrite").parquet(path.rstrip("/") + ".new")
+    files.delete(old, True)
+    if files.exists(now):
+        files.rename(now, old)
+    files.rename(new, now)
+    files.delete(old, True)
+    spark.catalog.refreshByPath(path)
     return incoming.count()
 
 

@@ -31,28 +31,36 @@ def write_baseline(scores: DataFrame, path: str) -> None:
     scores.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("avg_scores")).coalesce(1).write.mode("overwrite").json(path)
 
 
+# The templates whose queries set thresholds and are not tested on.
+CALIBRATION = ("noanswer-01", "noanswer-02")
+
+
 def labelled_queries(templates: DataFrame, corpus: DataFrame) -> DataFrame:
-    """One row per paraphrase of each template, with the source ids of its titles.
+    """One row per paraphrase of each template, with the source ids of its titles and their grades.
 
-    ``templates``: template, titles, queries, facts, category, query_type. ``corpus``: title, content.
-    The first paraphrase of every fourth template is for calibration, all others for tests; a template
-    without titles has no answer.
+    ``templates``: template (its id), titles, sections, queries, facts, grades (a map from title to
+    grade), category, query_type. ``corpus``: title, content. All paraphrases of the templates in
+    ``CALIBRATION`` are for calibration, the others for tests; the category tells what has no answer.
+    Paraphrases count from 1.
     """
     sources = corpus.select("title", X.source_id(F.col("title"), F.col("content")).alias("source_id"))
-    named = templates.select("template", F.explode_outer("titles").alias("title")).join(F.broadcast(sources), "title", "left")
+    named = templates.select("template", F.explode_outer("titles").alias("title")).join(sources, "title", "left")
     found = named.groupBy("template").agg(F.array_sort(F.collect_set("source_id")).alias("relevant_source_ids"))
-    rows = templates.join(found, "template").select("*", F.posexplode("queries").alias("i", "query"))
-    calibration = (F.col("i") == 0) & (F.col("template") % 4 == 0)
+    graded = templates.select("template", F.explode("grades").alias("title", "grade")).join(sources, "title")
+    grades = graded.groupBy("template").agg(F.map_from_entries(F.collect_list(F.struct("source_id", "grade"))).alias("relevance"))
+    rows = templates.join(found, "template").join(grades, "template", "left").select("*", F.posexplode("queries").alias("i", "query"))
     return rows.select(
-        F.format_string("q%03d-%d", F.col("template").cast("int"), F.col("i")).alias("id"),
-        F.concat(F.lit("p"), F.col("template").cast("string")).alias("partition"),
+        F.concat_ws("-", "template", F.col("i") + 1).alias("id"),
+        F.col("template").alias("partition"),
         "query",
         "category",
         "query_type",
         "relevant_source_ids",
+        F.col("sections").alias("relevant_sections"),
         F.col("facts").alias("must_recall_facts"),
-        (F.size("relevant_source_ids") == 0).alias("no_answer"),
-        F.when(calibration, "calibration").otherwise("test").alias("role"),
+        F.coalesce("relevance", F.create_map().cast("map<string,int>")).alias("relevance"),
+        (F.col("category") == "no_answer").alias("no_answer"),
+        F.when(F.col("template").isin(*CALIBRATION), "calibration").otherwise("test").alias("role"),
     )
 
 

@@ -16,11 +16,13 @@ def test_baseline_round_trip(spark, tmp_path):
 
 
 def test_labelled_queries(spark):
-    templates = spark.createDataFrame([(0, ["A b"], ["q1", "q2"], ["f"], "c", "factoid"), (1, [], ["q3"], [], "c", "no_answer")], "template int, titles array<string>, queries array<string>, facts array<string>, category string, query_type string")
+    templates = spark.createDataFrame([("refund-01", ["A b"], ["s"], ["q1", "q2"], ["f"], {"A b": 2}, "c", "factoid"), ("noanswer-01", [], [], ["q3", "q4"], [], {}, "no_answer", "no_answer")], "template string, titles array<string>, sections array<string>, queries array<string>, facts array<string>, grades map<string,int>, category string, query_type string")
     corpus = spark.createDataFrame([("A b", "x")], "title string, content string")
     got = {r["id"]: r for r in stored.labelled_queries(templates, corpus).collect()}
-    assert got["q000-0"]["role"] == "calibration" and got["q000-1"]["role"] == "test"
-    assert got["q000-1"]["relevant_source_ids"][0].startswith("src-") and got["q001-0"]["no_answer"]
+    assert {i: r["role"] for i, r in got.items()} == {"refund-01-1": "test", "refund-01-2": "test", "noanswer-01-1": "calibration", "noanswer-01-2": "calibration"}
+    one = got["refund-01-2"]
+    assert one["query"] == "q2" and one["relevance"] == {one["relevant_source_ids"][0]: 2} and one["relevant_sections"] == ["s"] and not one["no_answer"]
+    assert got["noanswer-01-1"]["no_answer"] and got["noanswer-01-1"]["relevance"] == {}
 
 
 def test_stores(spark, tmp_path):
