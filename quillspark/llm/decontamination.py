@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, picked
+
 #: Texts whose windows are embedded together.
 SLICE = 256
 _WORDS = re.compile(r"\w+").findall
@@ -78,6 +80,7 @@ class Index:
             if found:
                 self.items.append((item_id, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found]))
         sizes = [len(i) for _, i in self.items]
+        self.distinct = [frozenset(i) for _, i in self.items]
         self.allowed = [int(how.edit_share * n) for n in sizes]
         rng = np.random.default_rng(how.seed)
         self.grams = {q: np.unique(np.concatenate([np.zeros(0, np.int64), *[self._grams(np.array(i, np.int64), q) for _, i in self.items]])) for q in (1, 2, 3)}
@@ -158,7 +161,7 @@ class Index:
         # All texts in a row, each followed by a word that no item has.
         found = [words(text) for text in many]
         sizes = np.array([len(own) for own in found], np.int64)
-        ids = np.fromiter((i for own in found for i in (*(known(w, 0) for w in own), 0)), np.int64, int(sizes.sum()) + len(many))
+        ids = np.fromiter(chain.from_iterable(chain(map(known, own, repeat(0)), (0,)) for own in found), np.int64, int(sizes.sum()) + len(many))
         firsts = np.cumsum(sizes + 1) - sizes - 1
         ends = np.repeat(firsts + sizes, sizes + 1)
         mixed = self._mixed(ids)
@@ -210,7 +213,12 @@ class Index:
                 continue
             sequence, most = self.items[k][1], self.allowed[k]
             window = ids[start : min(start + len(sequence) + most, int(ends[start]))].tolist()
-            n = 0 if window[: len(sequence)] == sequence else edits(sequence, window, most)
+            if window[: len(sequence)] == sequence:
+                n = 0
+            elif len(self.distinct[k].difference(window)) > most:
+                continue  # each word of the item that the window lacks takes an edit
+            else:
+                n = edits(sequence, window, most)
             if n <= most and (k not in own or (n, at) < own[k]):
                 own[k] = (n, at)
 
@@ -249,7 +257,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Search = Search(),
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, how: Search = Search(), text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
+    """The rows of ``docs``, all columns, in which no item is found.
+
+    Null and wordless texts hold no item and stay; repeated rows stay or go together; texts of any
+    length are read whole; null items match nothing; an empty table gives no rows.
+    """
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     spark = docs.sparkSession
     bounded_batches(spark)
