@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .common import bounded_batches, picked
-from .tokens import crc, encoder, texts
+from .tokens import crc, encoder
 
 
 @dataclass(frozen=True)
@@ -234,8 +234,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         part, seq, enc, end = TaskContext.get().partitionId(), 0, encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                ids = enc.encode(text) + end
+            found, ends = enc.encode_column(batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                ids = found[a:b].tobytes() + end
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     size = (n - start) % capacity or capacity

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import bounded_batches, picked
-from .tokens import crc, encoder, texts
+from .tokens import crc, encoder
 
 
 @dataclass(frozen=True)
@@ -41,25 +41,21 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     ranged = rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         shard, start, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            ids, texts_left = batch.column(0), batch.column(1)
+            found, ends = enc.encode_column(batch.column(1))
+            values = np.insert(found, ends[1:], end_id).view("<i4")
+            offsets = ends + np.arange(len(ends))
+            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+            arrays = [batch.column(0), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), tokens, pa.array(np.full(batch.num_rows, shard, np.int32))]
+            made = pa.RecordBatch.from_arrays(arrays, names=["doc_id", "local_start", "n_tokens", "tokens", "shard"])
+            start += int(offsets[-1])
             for at in range(0, batch.num_rows, 64):
-                made = [enc.encode(t) + end for t in texts(texts_left.slice(at, 64))]
-                counts = [len(x) // 4 for x in made]
-                starts, offsets = [], [0]
-                for n in counts:
-                    starts.append(start)
-                    start += n
-                    offsets.append(offsets[-1] + n)
-                values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(made))])
-                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                arrays = [ids.slice(at, 64), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), tokens, pa.array([shard] * len(made), pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "local_start", "n_tokens", "tokens", "shard"])
+                yield made.slice(at, 64)
 
     return ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, "doc_id long, local_start long, n_tokens long, tokens array<int>, shard int")
 

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 CACHE_ENTRIES = 300_000
 #: Longer pieces are encoded each time instead of being remembered.
 CACHE_CHARS = 48
+#: Pieces whose ids are gathered at once.
+GATHERED = 1 << 18
 
 # The pattern of byte-level pre-tokenization.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,25 +77,24 @@ class Encoder:
         return b"".join([self._word(w) for w in self.split(piece)])
 
     def _after_space(self, piece: str) -> bytes:
-        """Ids of the piece with one space before it; letters alone are one pre-token, and so remembered."""
-        if piece.isalpha():
-            found = self.young.get(piece) or self.old.get(piece)
-            if found is None:
+        """Ids of the piece with one space before it, remembered unless it is long or holds other white space."""
+        found = self.old.get(piece)
+        if found is None:
+            if piece.isalpha():  # one pre-token
                 if piece.isascii():
                     found = self._fresh(self.space + piece)
                 elif _OTHER(piece):
-                    return self._piece(" " + piece)
+                    found = self._piece(" " + piece)
                 else:
                     found = self._fresh(self.space + piece.encode().decode("latin-1").translate(self.table))
-            if len(piece) <= CACHE_CHARS:
-                if len(self.young) >= self.entries:
-                    self.old, self.young = self.young, {}
-                self.young[piece] = found
-            return found
-        tail = self.tails.get(piece[-1])
-        if tail is not None and piece[:-1].isalpha():
-            return (self.young.get(piece[:-1]) or self._after_space(piece[:-1])) + tail
-        return self._piece(" " + piece)
+            else:
+                word, tail = piece[:-1], self.tails.get(piece[-1])
+                found = (self.young.get(word) or self._after_space(word)) + tail if tail is not None and word.isalpha() else self._piece(" " + piece)
+        if len(piece) <= CACHE_CHARS and "\n" not in piece:
+            if len(self.young) >= self.entries:
+                self.old, self.young = self.young, {}
+            self.young[piece] = found
+        return found
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -126,6 +127,55 @@ class Encoder:
         return first, rest
 
 
+    def encode_column(self, column):
+        """Ids of all texts of an Arrow column one after another, as ``uint32``, and where each text's begin and end.
+
+        Nulls are empty. Arrow splits the texts and numbers the different pieces, so that each of
+        them is looked up once in a column; ids are then gathered by these numbers.
+        """
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not len(column):
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        column = pc.fill_null(column, "")
+        lists = pc.split_pattern(column, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        coded = lists.flatten().dictionary_encode()
+        codes, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+        # A space that white space follows is no place to cut, nor may an added token be cut: such texts go one by one.
+        known, odd = [*map(self.young.get, pieces)], np.zeros(len(pieces), bool)
+        for i, p in enumerate(pieces):
+            if known[i] is None:
+                odd[i] = not p or p[0].isspace()
+                known[i] = b"" if odd[i] else self._after_space(p)
+        joined = odd[codes]
+        joined[at[:-1]] = False
+        single = np.logical_or.reduceat(joined, at[:-1])
+        for content in self.added:
+            single |= pc.match_substring(column, content).to_numpy(zero_copy_only=False)
+
+        # The first piece of a text has no space before it; a text that goes one by one is its own first piece.
+        codes[np.repeat(single, np.diff(at))] = len(pieces)
+        codes[at[:-1]] = len(pieces) + 1 + np.arange(len(column))
+        firsts = pc.take(lists.flatten(), at[:-1]).to_pylist()
+        known += [b"", *(self.encode(column[i].as_py()) if one else self._piece(firsts[i]) for i, one in enumerate(single.tolist()))]
+
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begins = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(known), "<u4")
+        counts = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        found = np.empty(ends[-1], "<u4")
+        for a in range(0, len(codes), GATHERED):
+            n = counts[a : a + GATHERED]
+            shift = begins[codes[a : a + GATHERED]] - ends[a : a + len(n)]
+            found[ends[a] : ends[a + len(n)]] = ids[np.repeat(shift, n) + np.arange(ends[a], ends[a + len(n)])]
+        return found, ends[at]
+
+
 _encoders: dict[str, Encoder] = {}
 
 

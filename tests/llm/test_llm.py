@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,17 @@ def test_encoder_equals_the_library(encode):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == encode(text), text
 
 
+def test_encoded_columns_equal_the_library(encode):
+    own, rng = tokens.Encoder(tokenizer_path(), entries=50), random.Random(5)
+    parts = ["a", "bc", " ", "  ", " x", "\n", "\t", "'s", "é", "中文", "　", "12", "!", "😀", "\x85", "\v", "<|endoftext|>", ". ", "the "]
+    texts = [None, "", " ", "  ", "a ", " a", "word " * 40_000] + ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)]
+    for column in (pa.array(texts), pa.array(texts).slice(2, 900), pa.array([], pa.string()), pa.array([None], pa.string())):
+        ids, ends = own.encode_column(column)
+        assert len(ends) == len(column) + 1 and ends[-1] == len(ids)
+        for text, a, b in zip(column.to_pylist(), ends[:-1], ends[1:]):
+            assert ids[a:b].tolist() == encode(text or ""), text
+
+
 # --- 1 packing -----------------------------------------------------------------------------------
 
 
