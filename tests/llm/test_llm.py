@@ -612,6 +612,30 @@ TEXTS = [
 ]
 
 
+def test_pii_learns_from_all_candidates(spark):
+    many = " ; ".join(f"row {i} 20{i % 90 + 10}-11-{i % 18 + 10}" for i in range(50))
+    own = [many, many, "call 555-123-4567 now", "a@b.org wrote", "at fe:dc:ba::aa", "plain", "", None] + [f"version {i % 7}{i % 9}.12.{i % 8}0" for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(own)], "doc_id long, text string").repartition(3)
+    wanted, drawn = {}, 0
+    for text in filter(None, own):
+        proposed = pii.candidates(text)
+        drawn += len(proposed)
+        free = set(pii.apart(proposed, pii.strict(text)))
+        for c in proposed:
+            key = (pii.features(text, *c), int(c not in free))
+            wanted[key] = wanted.get(key, 0.0) + min(1, 20 / len(proposed))
+    how = pii.Training()
+    found, learnt = {}, pii._learnt(docs, how, "text")
+    for (x, y, _, _), n in learnt.items():
+        found[x, y] = found.get((x, y), 0.0) + n
+    assert drawn > 400 and len(pii.candidates(many)) >= 50
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-3 for k in wanted)
+    few = pii._learnt(docs, pii.Training(distinct=12), "text")
+    assert len(few) < len(learnt) and abs(sum(few.values()) - sum(wanted.values())) < 1e-3
+    assert {x[0] for x, *_ in few} == {x[0] for x, _ in wanted}
+    assert pii.train(docs).thresholds == pii.train(docs.repartition(7)).thresholds
+
+
 def test_pii(spark, edges, small):
     docs = edges.select("doc_id", "text").unionByName(spark.createDataFrame([(300 + i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"))
     digits = lambda s: re.sub("[^0-9]", "", s)
