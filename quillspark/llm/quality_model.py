@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import bounded_batches, picked
-from .tokens import texts
+from .common import bounded_batches, joined, picked
+from .tokens import gathered, texts
 
 
 @dataclass(frozen=True)
@@ -46,10 +46,14 @@ _PIECES = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
 _RUNS = re.compile(r"(.)\1{2,}", re.S)
 #: No piece has a blank: forms are told from pieces by it.
 _FORM = " "
-#: What a reader remembers: pieces of up to so many characters, so many of them.
+#: Words of one piece, or of one and a sign at the end, that Arrow takes apart: small letters after at most one capital.
+_PLAIN, _CAPITAL, _SIGNS, _PLAIN_CHARS = "^[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+[.,;:!?]?$", "^[A-ZÀ-ÖØ-Þ]", ".,;:!?", 64
+#: What a reader remembers: other words of up to so many characters, so many of them.
 MEMORY, MEMORY_CHARS = 300_000, 48
-#: Pieces that one worker counts before it hands its counts on.
-COUNTED = 300_000
+#: Counts that one worker gathers before it sums them up and hands them on.
+COUNTED = 2_000_000
+#: Pieces whose neighbours are counted at once.
+NEIGHBOURS = 1 << 22
 
 
 class _Kinds(dict):
@@ -71,48 +75,98 @@ def form(piece: str) -> str:
     return f"{_FORM}{_RUNS.sub(r'\1\1', piece[:64].translate(_KINDS))}{_FORM}{len(piece).bit_length()}"
 
 
+def _words(column):
+    """An Arrow column's different words, the number of the word at each place, and where each text's words begin and end.
+
+    Words are cut at ASCII white space, which no piece holds; some are empty. Null texts are empty.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    at = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.cast(pa.string()), coded.indices.to_numpy(), at - at[0]
+
+
+def _plain(words):
+    """Which words are plain; of these the letters, and the byte of the sign at the end or 0."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    plain = pc.match_substring_regex(words, _PLAIN)
+    plain = pc.and_(plain, pc.less(pc.utf8_length(words), _PLAIN_CHARS))
+    own = words.filter(plain)
+    letters = pc.ascii_rtrim(own, _SIGNS)
+    signs = np.zeros(len(own), np.uint8)
+    if len(own):
+        ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset + 1 : own.offset + len(own) + 1]
+        signs = np.frombuffer(own.buffers()[2], np.uint8)[ends - 1]
+        signs = np.where(pc.equal(pc.binary_length(own), pc.binary_length(letters)).to_numpy(zero_copy_only=False), 0, signs)
+    return plain.to_numpy(zero_copy_only=False), letters, signs
+
+
 class Reader:
-    """Turns texts into the numbers of their pieces' vectors; what it remembers is bounded.
+    """Turns columns of texts into the numbers of their pieces' vectors; what it remembers is bounded.
 
-    Pieces never cross white space, so whole words are remembered with all their pieces.
+    Pieces never cross white space, so each different word of a column is taken apart once: plain ones
+    by Arrow, all at once, and the others by the pieces' pattern, remembered with all their pieces.
     """
 
     def __init__(self, units: list[str]):
+        import numpy as np
+        import pyarrow as pa
+
         self.units = {u: i for i, u in enumerate(units)}
+        self.names = pa.array(units, pa.string())
         self.known: dict[str, tuple[int, ...]] = {}
-        self.small = [self.units.get(form("x" * n), len(self.units)) for n in range(64)]
+        # The form of a plain word hangs on its length and its capital only.
+        self.small = np.array([self.units.get(form("x" * n), len(self.units)) for n in range(_PLAIN_CHARS)])
+        self.capital = np.array([self.units.get(form("X" + "x" * (n - 1)), len(self.units)) for n in range(1, _PLAIN_CHARS + 1)])
+        self.signs = np.zeros(128, np.int64)
+        self.signs[[ord(c) for c in _SIGNS]] = [self._number(c) for c in _SIGNS]
 
     def _number(self, piece: str) -> int:
         found = self.units.get(piece)
         return self.units.get(form(piece), len(self.units)) if found is None else found
 
     def _look(self, word: str) -> tuple[int, ...]:
-        if word.isalpha():
-            found = (self._small(word),) if word.islower() else (self._number(word),)
-        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
-            found = (self._small(word[:-1]) if word.islower() else self._number(word[:-1]), self._number(word[-1]))
-        else:
+        found = self.known.get(word)
+        if found is None:
             found = tuple([self._number(p) for p in _PIECES(word)])
-        if len(word) <= MEMORY_CHARS:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[word] = found
+            if len(word) <= MEMORY_CHARS:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
-    def _small(self, piece: str) -> int:
-        """The number of a piece of small letters alone: most rare ones are, and their form hangs on their length only."""
-        found = self.units.get(piece)
-        return self.small[len(piece)] if found is None and len(piece) < 64 else self._number(piece) if found is None else found
-
-    def read(self, text: str | None):
-        """Vector numbers of a text's pieces; a piece whose form is rare, too, has the number after the last."""
+    def _numbers(self, words):
+        """The numbers of all words' pieces one after another, and where each word's begin and how many they are."""
         import numpy as np
+        import pyarrow.compute as pc
+
+        plain, letters, signs = _plain(words)
+        number = pc.fill_null(pc.index_in(letters, value_set=self.names), -1).to_numpy().astype(np.int64)
+        size, upper = pc.utf8_length(letters).to_numpy(), pc.match_substring_regex(letters, _CAPITAL).to_numpy(zero_copy_only=False)
+        number = np.where(number < 0, np.where(upper, self.capital[size - 1], self.small[size]), number)
+        others = [*map(self._look, words.filter(~plain).to_numpy(zero_copy_only=False))]
 
-        words = text.split() if text else []
-        found = [*map(self.known.get, words)]
-        if None in found:
-            found = [self._look(w) if n is None else n for w, n in zip(words, found)]
-        return np.fromiter(chain.from_iterable(found), np.int64)
+        begins, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begins[plain], sizes[plain] = 2 * np.arange(len(number)), 1 + (signs > 0)
+        sizes[~plain] = own = np.fromiter(map(len, others), np.int64, len(others))
+        begins[~plain] = 2 * len(number) + np.cumsum(own) - own
+        rest = np.fromiter(chain.from_iterable(others), np.int64, own.sum())
+        return np.concatenate([np.column_stack([number, self.signs[signs]]).ravel(), rest]), begins, sizes
+
+    def read(self, column):
+        """Vector numbers of the pieces of all texts, and where each text's begin and end.
+
+        A piece whose form is rare, too, has the number after the last.
+        """
+        words, codes, at = _words(column)
+        found, ends = gathered(codes, *self._numbers(words))
+        return found, ends[at]
 
 
 def _counts(rows: DataFrame, of, schema: str) -> DataFrame:
@@ -121,18 +175,20 @@ def _counts(rows: DataFrame, of, schema: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        counted: dict[str, int] = {}
-
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array([*counted], pa.string()), pa.array([*counted.values()], pa.int64())], names=["unit", "n"])
-            counted.clear()
-            return made
-
-        for batch in batches:
-            of(batch, counted)
-            if len(counted) > COUNTED:
-                yield out()
-        yield out()
+        def summed(tables):
+            found = pa.concat_tables(tables).group_by("unit").aggregate([("n", "sum")])
+            yield from found.select(["unit", "n_sum"]).rename_columns(["unit", "n"]).to_batches(max_chunksize=100_000)
+
+        held, n = [], 0
+        for batch in joined(batches):
+            for names, counts in of(batch):
+                held.append(pa.table([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["unit", "n"]))
+                n += len(held[-1])
+            if n > COUNTED:
+                yield from summed(held)
+                held, n = [], 0
+        if held:
+            yield from summed(held)
 
     return rows.mapInArrow(run, schema).groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -142,21 +198,26 @@ def units(docs: DataFrame, how: Training = Training(), text_col: str = "text") -
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "pieces")
 
-    def pieces(batch, counted):
-        from collections import Counter
+    def pieces(batch):
+        import numpy as np
 
-        own: Counter = Counter()
-        for text in texts(batch.column(0)):
-            if text:
-                own.update(text.split())
-        for word, n in own.items():
+        words, codes, _ = _words(batch.column(0))
+        times = np.bincount(codes, minlength=len(words))
+        plain, letters, signs = _plain(words)
+        yield letters, times[plain]
+        after = np.bincount(signs, times[plain], 128).astype(np.int64)
+        counted = {c: int(after[ord(c)]) for c in _SIGNS if after[ord(c)]}
+        for word, n in zip(words.filter(~plain).to_numpy(zero_copy_only=False), times[~plain].tolist()):
             for piece in _PIECES(word):
                 counted[piece] = counted.get(piece, 0) + n
+        yield [*counted], [*counted.values()]
 
-    def forms(batch, counted):
+    def forms(batch):
+        counted: dict[str, int] = {}
         for piece, n in zip(texts(batch.column(0), 10_000), texts(batch.column(1), 10_000)):
             own = form(piece)
             counted[own] = counted.get(own, 0) + n
+        yield [*counted], [*counted.values()]
 
     found = scratch.keep(_counts(docs.select(F.col(text_col).cast("string").alias("text")), pieces, "unit string, n long"), "counts")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -167,17 +228,28 @@ def units(docs: DataFrame, how: Training = Training(), text_col: str = "text") -
     return sorted(r["unit"] for r in scratch_names.collect())
 
 
-def index_vectors(names: list[str], how: Training):
-    """The sparse random vectors, ``nonzero`` entries of 1 or -1 each, made from the hash of each name."""
+def index_entries(names: list[str], how: Training):
+    """Places and signs of each name's ``nonzero`` entries, one row of all names for each, made from the hash of the name."""
     import numpy as np
     import xxhash
 
-    table = np.zeros((len(names) + 1, how.size), np.int32)
+    places, signs = [], []
     hashed = np.array([xxhash.xxh64_intdigest(n, how.seed) for n in [*names, ""]], np.uint64)
     for _ in range(how.nonzero):
         # The next number of each name's own sequence.
         hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15)
-        np.add.at(table, (np.arange(len(hashed)), ((hashed >> np.uint64(40)) % np.uint64(how.size)).astype(np.int64)), np.where(hashed >> np.uint64(63), 1, -1))
+        places.append(((hashed >> np.uint64(40)) % np.uint64(how.size)).astype(np.int64))
+        signs.append(np.where(hashed >> np.uint64(63), 1, -1))
+    return places, signs
+
+
+def index_vectors(names: list[str], how: Training):
+    """The sparse random vectors, ``nonzero`` entries of 1 or -1 each."""
+    import numpy as np
+
+    table = np.zeros((len(names) + 1, how.size), np.int32)
+    for places, signs in zip(*index_entries(names, how)):
+        np.add.at(table, (np.arange(len(table)), places), signs)
     return table
 
 
@@ -195,20 +267,24 @@ def word_vectors(docs: DataFrame, names: list[str], how: Training = Training(),
     def gather(batches):
         import pyarrow as pa
 
-        reader, seeds, n = Reader(names), index_vectors(names, how), len(names) + 1
-        total = np.zeros(seeds.shape, np.int64)
-        for batch in batches:
-            # All texts in a row, a piece of no text after each; pairs that lie apart within a text are counted.
-            flat = np.concatenate([np.append(reader.read(t), -1) for t in texts(batch.column(0))] or [np.zeros(0, np.int64)])
-            place = np.cumsum(flat < 0)
-            for d in range(1, window + 1):
-                inside = (place[:-d] == place[d:]) & (flat[:-d] >= 0) & (flat[d:] >= 0)
-                left, right = flat[:-d][inside], flat[d:][inside]
-                pairs, times = np.unique(np.concatenate([left * n + right, right * n + left]), return_counts=True)
-                for at in range(0, len(pairs), 1 << 16):
-                    own, near = np.divmod(pairs[at : at + (1 << 16)], n)
-                    named, starts = np.unique(own, return_index=True)
-                    total[named] += np.add.reduceat(seeds[near] * times[at : at + (1 << 16), None], starts)
+        reader, entries, n = Reader(names), index_entries(names, how), len(names) + 1
+        total = np.zeros((n, size), np.int64)
+        for batch in joined(batches):
+            # All texts in a row; pairs that lie apart within a text are counted, and each different pair is added once.
+            ids, ends = reader.read(batch.column(0))
+            place = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            for at in range(0, len(ids), NEIGHBOURS):
+                pairs = []
+                for d in range(1, window + 1):
+                    left, right = slice(at, min(at + NEIGHBOURS, len(ids) - d)), slice(at + d, at + d + NEIGHBOURS)
+                    if left.stop > at:
+                        pairs.append((ids[left] * n + ids[right])[place[left] == place[right]])
+                pairs = np.sort(np.concatenate(pairs or [np.zeros(0, np.int64)]))
+                first = np.flatnonzero(np.diff(pairs, prepend=-1))
+                times, (left, right) = np.diff(first, append=len(pairs)), np.divmod(pairs[first], n)
+                for own, near in ((left, right), (right, left)):
+                    for places, signs in zip(*entries):
+                        np.add.at(total.reshape(-1), own * size + places[near], times * signs[near])
         some = np.flatnonzero(total.any(1))
         for at in range(0, len(some), 4096):
             own = some[at : at + 4096]
@@ -226,11 +302,10 @@ def word_vectors(docs: DataFrame, names: list[str], how: Training = Training(),
     return (total / np.maximum(norms, 1e-9) + how.own * index_vectors(names, how) / np.sqrt(how.nonzero)).astype(np.float32)
 
 
-def pooled(text: str | None, reader: Reader, vectors):
-    """Mean and maximum of the pieces' vectors; zeros for a text without pieces."""
+def pooled(ids, vectors):
+    """Mean and maximum of the vectors of a text's pieces; zeros for a text without pieces."""
     import numpy as np
 
-    ids = reader.read(text)
     size = vectors.shape[1]
     out = np.zeros(2 * size, np.float32)
     if len(ids):
@@ -285,8 +360,9 @@ def learn(rows: DataFrame, docs: DataFrame, how: Training = Training()) -> Model
         import pyarrow as pa
 
         reader = Reader(names)
-        for batch in batches:
-            made = [pooled(t, reader, vectors).tobytes() for t in texts(batch.column(0))]
+        for batch in joined(batches):
+            ids, ends = reader.read(batch.column(0))
+            made = [pooled(ids[a:b], vectors).tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], names=["features", "label"])
 
     kept = rows.filter("label IN (0, 1)").select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
@@ -348,8 +424,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
         import pyarrow as pa
 
         reader = Reader(model.names)
-        for batch in batches:
-            x = np.array([pooled(t, reader, model.vectors) for t in texts(batch.column(1))], np.float64).reshape(batch.num_rows, -1)
+        for batch in joined(batches):
+            ids, ends = reader.read(batch.column(1))
+            x = np.array([pooled(ids[a:b], model.vectors) for a, b in zip(ends[:-1], ends[1:])], np.float64).reshape(batch.num_rows, -1)
             p = model.probability(x) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 

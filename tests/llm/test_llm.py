@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import components, decontamination, lm_scores, packing, pii, quality_model, quality_rules, queries, secrets, simhash, token_files, tokens, toxicity
-from quillspark.llm.common import tokenizer_path
+from quillspark.llm.common import joined, tokenizer_path
 from quillspark.session import Scratch
 
 DOCS = "doc_id long, text string, part int, score double, label string"
@@ -512,6 +512,35 @@ def test_quality_model(spark, edges):
     assert {r["score"] for r in quality_model.score(edges, blank).collect()} == {0.5}
 
 
+def test_reader_looks_once_at_words_that_are_not_plain(monkeypatch):
+    rng, seen = random.Random(8), []
+    parts = ["a", "bc", "Éa", "ñandú", "X", "x" * 70, " ", "  ", "\n", "\t", "\v", "\x1c", "\x85", "　", "é", "ß", "÷", "ª", "中文", "12", "_", "!!", "a.", "Ab;", ".", "😀", "ΑΒγ", "ab" * 40, "\x00"]
+    texts = [None, "", " ", "word " * 3000, "x" * 63 + ".", "x" * 64 + "."] + ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
+    pieces = [re.findall(r"[^\W_]+|[^\w\s]+|_+", t or "") for t in texts]
+    forms = [quality_model.form(p) for own in pieces for p in own]
+    names = sorted({"a", "word", ".", "bc", "12", "Éa", *rng.sample(sorted(set(forms)), len(set(forms)) // 2), quality_model.form("xx"), quality_model.form("Xx"), quality_model.form("x" * 63)})
+    number, find = {n: i for i, n in enumerate(names)}, quality_model._PIECES
+    reader = quality_model.Reader(names)
+    for column, own in ((pa.array(texts), pieces), (pa.array(texts).slice(2, 900), pieces[2:902])):
+        ids, ends = reader.read(column)
+        assert len(ends) == len(column) + 1 and ends[-1] == len(ids)
+        for found, a, b in zip(own, ends[:-1], ends[1:]):
+            assert ids[a:b].tolist() == [number.get(p, number.get(quality_model.form(p), len(names))) for p in found], found
+
+    # The pattern is asked once for each different word that is not plain, and for no other.
+    monkeypatch.setattr(quality_model, "_PIECES", lambda word: seen.append(word) or find(word))
+    plain = ["".join(rng.choices("abcdefé", k=9)) + rng.choice(["", ",", "."]) for _ in range(5000)]
+    quality_model.Reader(names).read(pa.array([" ".join(plain), " ".join(["A1", "b__", *plain]), " ".join(["A1"] * 100)]))
+    assert sorted(seen) == ["A1", "b__"]
+
+
+def test_joined_batches_keep_all_rows():
+    batches = [pa.record_batch([pa.array(["x" * n] * m, pa.string())], names=["text"]) for n, m in ((10, 5), (0, 0), (900, 1), (10, 5), (5000, 1), (10, 5))]
+    got = list(joined(iter(batches), 1000))
+    assert [t for b in got for t in b.column(0).to_pylist()] == [t for b in batches for t in b.column(0).to_pylist()]
+    assert [b.num_rows for b in got] == [6, 5, 1, 5] and list(joined(iter([]))) == []
+
+
 def test_word_vectors_equal_plain_sums(spark, edges):
     docs = edges.select("text").unionByName(spark.createDataFrame([("a b, a!! c a b " * 30,), ("B a b RARE1 c",)], "text string"))
     how = quality_model.Training(share=1e-5, window=2, own=0.0)
