@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, picked
-from .tokens import crc, encoder
+from .common import bounded_batches, joined, picked
+from .tokens import ENCODED_BYTES, crc, encoder
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
         from pyspark import TaskContext
 
         shard, start, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        for batch in batches:
+        for batch in joined(batches, ENCODED_BYTES):
             found, ends = enc.encode_column(batch.column(1))
             values = np.insert(found, ends[1:], end_id).view("<i4")
             offsets = ends + np.arange(len(ends))

@@ -77,6 +77,22 @@ def test_encoded_columns_equal_the_library(encode):
             assert ids[a:b].tolist() == encode(text or ""), text
 
 
+def test_merges_of_many_words_equal_the_library(encode, monkeypatch):
+    rng, one_by_one = random.Random(6), []
+    own = tokens.Encoder(tokenizer_path(), entries=50)
+    letters = "aeioutnshrdlcÀÖÞßéñüxzQAÆaaaeee"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 24))) for _ in range(20_000)] + ["aaaaaaaaaaaaaaa", "ababababababab", "é" * 31, "x" * 63, "x" * 64, "é" * 40]
+    lines = [w + rng.choice(["", "", ".", ",***", "!?", "_", "\\\"", ")]}~", "\n" + rng.choice(words)]) for w in words]
+    texts = [" ".join(lines[a : a + 97]) for a in range(0, len(lines), 97)]
+    after = own._after_space
+    monkeypatch.setattr(own, "_after_space", lambda piece: one_by_one.append(piece) or after(piece))
+    ids, ends = own.encode_column(pa.array(texts))
+    for text, a, b in zip(texts, ends[:-1], ends[1:]):
+        assert ids[a:b].tolist() == encode(text), text
+    # Only pieces that are longer than what is merged at once go through Python one by one.
+    assert all(len(p.encode()) > tokens.MERGED_BYTES for p in one_by_one)
+
+
 # --- 1 packing -----------------------------------------------------------------------------------
 
 
