@@ -125,6 +125,23 @@ def test_packing(spark, small, edges, encode):
     assert packing.pack_documents(edges.limit(0), tokenizer_path()).count() == 0
 
 
+def test_pieces_encode_joined_batches(monkeypatch, encode):
+    from types import SimpleNamespace
+
+    made, columns, enc = [], [], tokens.encoder(tokenizer_path())
+    docs = SimpleNamespace(sparkSession=None, mapInArrow=lambda run, schema: made.append(run))
+    monkeypatch.setattr(packing, "bounded_batches", lambda spark: None)
+    monkeypatch.setattr(packing, "picked", lambda docs, *columns: docs)
+    monkeypatch.setattr(packing, "encoder", lambda path: SimpleNamespace(encode_column=lambda c: columns.append(len(c)) or enc.encode_column(c)))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    packing.pieces(docs, tokenizer_path(), 8, 2)
+    texts = [f"one two, three {i} " * (i % 7) for i in range(60)]
+    batches = [pa.record_batch([pa.array([i], pa.int64()), pa.array([t])], names=["doc_id", "text"]) for i, t in enumerate(texts)]
+    found = [r for b in made[0](iter(batches)) for r in b.to_pylist()]
+    assert columns == [60] and [r["seq"] for r in found] == [*range(len(found))] and {r["part"] for r in found} == {3}
+    assert [sum(r["length"] for r in found if r["doc_id"] == i) for i in range(60)] == [len(encode(t)) + 1 for t in texts]
+
+
 def test_packing_levels_beat_blocks(spark):
     rng = random.Random(5)
     data = [(0, i, rng.randint(1, 1024)) for i in range(3000)]
